@@ -6,7 +6,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import store, tokens
+from . import near_copies, store, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,8 +25,13 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.read_ids(spark, path)
 
 
+def op10_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_copies.near_copies(_table(spark, sf_dir, "documents"), n=4, num=85)
+
+
 QUERIES = {
     "op2_token_files": op2_token_files,
+    "op10_near_copies": op10_near_copies,
 }
 #: Queries of this subpackage that SQL can express too.
 ORACLE_SQL: dict[str, str] = {}
