@@ -6,7 +6,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import near_copies, store, tokens
+from . import decontam, langid, mixing, near_copies, store, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,12 +25,31 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.read_ids(spark, path)
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = langid.train(docs.where(~langid.held_out()))
+    found = langid.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labelled = mixing.label_domains(_table(spark, sf_dir, "labels"))
+    return mixing.document_rates(_table(spark, sf_dir, "documents"), labelled)
+
+
 def op10_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_copies.near_copies(_table(spark, sf_dir, "documents"), n=4, num=85)
 
 
 QUERIES = {
+    "op1_decontamination": op1_decontamination,
     "op2_token_files": op2_token_files,
+    "op4_language": op4_language,
+    "op7_mixing": op7_mixing,
     "op10_near_copies": op10_near_copies,
 }
 #: Queries of this subpackage that SQL can express too.

@@ -82,3 +82,27 @@ def map_slices(df: DataFrame, text: str, work: Callable, schema: str) -> DataFra
                 yield work(batch.slice(a, b - a), texts.slice(a, b - a))
 
     return df.mapInArrow(run, schema)
+
+
+def with_columns(df: DataFrame, text: str, work: Callable, fields: str) -> DataFrame:
+    """``df`` with further columns that ``work(texts) -> list of arrays`` makes from the whole texts of column ``text``.
+
+    Map-only: rows stay where they are and keep their other columns.  An input column that has the name of a new one
+    is replaced.
+    """
+    from pyspark.sql.types import StructType
+
+    new = StructType.fromDDL(fields)
+    kept = [f for f in df.schema.fields if f.name not in set(new.fieldNames())]
+    names = [f.name for f in kept] + new.fieldNames()
+    position = df.columns.index(text)
+    places = [df.columns.index(f.name) for f in kept]
+
+    def run(batches):
+        for batch in batches:
+            texts = filled(batch.column(position))
+            for a, b in text_slices(texts):
+                made = work(texts.slice(a, b - a))
+                yield pa.RecordBatch.from_arrays([batch.column(i).slice(a, b - a) for i in places] + made, names)
+
+    return df.mapInArrow(run, StructType([*kept, *new.fields]))
