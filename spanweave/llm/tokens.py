@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -27,67 +28,132 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import store
-from .bytescan import Texts
+from .bytescan import LOWER, Texts
 
 LANE = 256
 BLOCK_IDS = 1 << 16
 #: Words whose ids a worker keeps; when as many are held, it starts anew.
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 1_000_000
+#: Bytes of text that are encoded at once.
+SLICE = 8 << 20
 END_ID = 1
 
 
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+#: ASCII punctuation but the apostrophe, which begins contractions.
+_MARK = np.zeros(256, bool)
+_MARK[[c for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'"]] = True
+
+
 class WordEncoder:
     """Encodes whole texts by their words, each distinct word once.
 
     The tokenizer's pre-tokenizer must never join text across ASCII white space, as that of ``word_bpe_49k.json``,
-    which drops white space; then the ids of a text are those of its words in a row.
+    which drops white space; then the ids of a text are those of its words in a row.  Where the tokenizer also lowers
+    case and takes letters apart from other characters, so do the words here: marks that end a word after a letter are
+    a word of their own.  That is left out for slices in which the string of a special token occurs.
     """
 
     def __init__(self, spec: str):
+        import json
+
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(spec)
+        rules = json.loads(spec)
+        self.special = [t["content"].encode() for t in rules.get("added_tokens", [])]
+        self.apart = '"Lowercase"' in json.dumps(rules.get("normalizer")) and "[\\\\p{L}]+|" in json.dumps(rules.get("pre_tokenizer"))
         self.clear()
 
     def clear(self) -> None:
-        self.number: dict[int, int] = {}
+        self.known, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.begin, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint32)
 
     def learn(self, hashes: np.ndarray, words: list[str]) -> None:
         got = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
         size = np.fromiter(map(len, got), np.int64, len(got))
-        flat = np.fromiter((x for ids in got for x in ids), np.uint32, int(size.sum()))
-        self.number.update(zip(hashes.tolist(), range(len(self.size), len(self.size) + len(got)), strict=True))
+        flat = np.array(list(chain.from_iterable(got)), np.uint32)
+        known = np.concatenate([self.known, hashes])
+        slot = np.concatenate([self.slot, np.arange(len(self.size), len(self.size) + len(got))])
+        order = np.argsort(known, kind="stable")
+        self.known, self.slot = known[order], slot[order]
         self.begin = np.concatenate([self.begin, len(self.ids) + np.cumsum(size) - size])
         self.size, self.ids = np.concatenate([self.size, size]), np.concatenate([self.ids, flat])
 
-    def encode(self, texts: pa.Array, end_id: int | None = END_ID) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of a slice of texts in a row, and the number of ids of each text (with ``end_id`` at its end)."""
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Slots of words by their hashes, -1 for new ones."""
+        if not len(self.known):
+            return np.full(len(hashes), -1, np.int64)
+        at = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)
+        return np.where(self.known[at] == hashes, self.slot[at], -1)
+
+    def words(self, texts: pa.Array) -> tuple[Texts, np.ndarray, np.ndarray, np.ndarray]:
+        """The texts as they are hashed, and the starts, ends and texts of their words."""
         scan = Texts.of(texts)
         starts, ends, docs = scan.words()
+        data = scan.data
+        if not self.apart or not len(starts) or any(s in data.tobytes() for s in self.special):
+            return scan, starts, ends, docs
+        # Marks at the end of each word: step back from its last byte to one that is no mark.
+        last = ends - 1
+        live = np.flatnonzero(_MARK[data[last]])
+        while len(live):
+            last[live] -= 1
+            live = live[last[live] >= starts[live]]
+            live = live[_MARK[data[last[live]]]]
+        before = np.maximum(last, 0)
+        letter = _LETTER[data[before]]
+        latin = (data[before - 1] == 0xC3) & (data[before] != 0x97) & (data[before] != 0xB7) & (before > starts)
+        cut = np.flatnonzero((last >= starts) & (last < ends - 1) & (letter | latin))
+        where = cut + 1
+        starts_, ends_ = np.insert(starts, where, last[cut] + 1), ends.copy()
+        ends_[cut] = last[cut] + 1
+        return Texts(LOWER[data], scan.offsets), starts_, np.insert(ends_, where, ends[cut]), np.insert(docs, where, docs[cut])
+
+    def look_up(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+        """(number of each word's distinct word, slots of those, text of each word, number of texts)."""
+        scan, starts, ends, docs = self.words(texts)
         code, distinct = pd.factorize(scan.hashes(starts, ends))
-        if len(self.number) > KNOWN_WORDS:
+        if len(self.known) > KNOWN_WORDS:
             self.clear()
-        place = np.fromiter((self.number.get(h, -1) for h in distinct.tolist()), np.int64, len(distinct))
+        place = self.find(distinct)
         new = np.flatnonzero(place < 0)
         if len(new):
-            first = np.full(len(distinct), len(code), np.int64)
-            np.minimum.at(first, code, np.arange(len(code)))
+            first = np.empty(len(distinct), np.int64)
+            first[code[::-1]] = np.arange(len(code) - 1, -1, -1)
             raw = scan.data.tobytes()
-            self.learn(distinct[new], [raw[starts[i] : ends[i]].decode() for i in first[new]])
+            self.learn(distinct[new], [raw[a:b].decode() for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)])
             place[new] = np.arange(len(self.size) - len(new), len(self.size))
-        word = place[code]
-        size = self.size[word]
-        n_ids = np.bincount(docs, weights=size, minlength=len(scan)).astype(np.int64) + (end_id is not None)
+        return code, place, docs, len(scan)
+
+    def encode(self, texts: pa.Array, end_id: int | None = END_ID) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of a slice of texts in a row, and the number of ids of each text (with ``end_id`` at its end)."""
+        code, place, docs, n = self.look_up(texts)
+        begin, size = self.begin[place], self.size[place]
+        ids = self.ids
+        if end_id is not None:  # one more word, at the end of each text
+            ids = np.append(ids, np.uint32(end_id))
+            begin, size = np.append(begin, len(ids) - 1), np.append(size, 1)
+            code = np.insert(code, np.searchsorted(docs, np.arange(n), "right"), len(size) - 1)
+            docs = np.insert(docs, np.searchsorted(docs, np.arange(n), "right"), np.arange(n))
+        sizes = size[code]
+        n_ids = np.bincount(docs, weights=sizes, minlength=n).astype(np.int64)
         total = int(n_ids.sum())
-        out = np.empty(total, np.uint32)
+        from_ = begin[code] - np.cumsum(sizes) + sizes
+        return ids[np.repeat(from_, sizes) + np.arange(total)], n_ids
+
+    def counts(self, texts: pa.Array, end_id: int | None = END_ID) -> np.ndarray:
+        """How often each id occurs, from the counts of the distinct words."""
+        code, place, _, n = self.look_up(texts)
+        times, size = np.bincount(code, minlength=len(place)), self.size[place]
+        from_ = self.begin[place] - np.cumsum(size) + size
+        ids = self.ids[np.repeat(from_, size) + np.arange(int(size.sum()))]
+        out = np.bincount(ids, weights=np.repeat(times, size), minlength=(end_id or 0) + 1).astype(np.int64)
         if end_id is not None:
-            out[np.cumsum(n_ids) - 1] = end_id
-        at = np.cumsum(size) - size + (docs if end_id is not None else 0)  # an end id for each earlier text
-        within = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-        out[np.repeat(at, size) + within] = self.ids[np.repeat(self.begin[word], size) + within]
-        return out, n_ids
+            out[end_id] += n
+        return out
 
 
 _ENCODERS: dict[int, WordEncoder] = {}
@@ -109,8 +175,8 @@ def count_ids(docs: DataFrame, spec, text: str = "text", end_id: int = END_ID) -
         enc = encoder(spec.value)
         for batch in batches:
             texts = store.filled(batch.column(0))
-            for a, b in store.text_slices(texts):
-                got = np.bincount(enc.encode(texts.slice(a, b - a), end_id)[0])
+            for a, b in store.text_slices(texts, SLICE):
+                got = enc.counts(texts.slice(a, b - a), end_id)
                 total = np.pad(total, (0, max(0, len(got) - len(total))))
                 total[: len(got)] += got
         ids = np.flatnonzero(total)
@@ -264,7 +330,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer_json: str, text: str = "text
         held_ids = 0
         for batch in batches:
             texts, keys = store.filled(batch.column(1)), batch.column(0).to_pylist()
-            for a, b in store.text_slices(texts):
+            for a, b in store.text_slices(texts, SLICE):
                 ids, n_ids = enc.encode(texts.slice(a, b - a), end_id)
                 parts = np.split(ids, np.cumsum(n_ids)[:-1])
                 held[0].extend(keys[a:b]), held[1].extend(n_ids.tolist()), held[2].extend(parts)
