@@ -6,7 +6,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, langid, mixing, near_copies, store, tokens
+from . import decontam, grading, langid, mixing, near_copies, pii, rules, secret_scan, site_tree, store, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.quality_rules(_table(spark, sf_dir, "documents"))
+
+
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = langid.train(docs.where(~langid.held_out()))
@@ -36,11 +40,28 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return grading.grade_documents(docs, grading.train(docs, grading.graded(_table(spark, sf_dir, "labels"))))
+
+
+def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_tree.main_texts(_table(spark, sf_dir, "pages"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     labelled = mixing.label_domains(_table(spark, sf_dir, "labels"))
     return mixing.document_rates(_table(spark, sf_dir, "documents"), labelled)
 
 
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secrets(_table(spark, sf_dir, "documents"))
+
+
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(_table(spark, sf_dir, "documents"))
+
+
 def op10_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_copies.near_copies(_table(spark, sf_dir, "documents"), n=4, num=85)
 
@@ -48,8 +69,13 @@ def op10_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_token_files": op2_token_files,
+    "op3_quality_rules": op3_quality_rules,
     "op4_language": op4_language,
+    "op5_quality_classifier": op5_quality_classifier,
+    "op6_html": op6_html,
     "op7_mixing": op7_mixing,
+    "op8_secrets": op8_secrets,
+    "op9_personal_data": op9_personal_data,
     "op10_near_copies": op10_near_copies,
 }
 #: Queries of this subpackage that SQL can express too.
