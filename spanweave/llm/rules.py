@@ -170,6 +170,28 @@ c The end.
 
 b win*** the### big&&& prize%%% now$$$ and*** here### again&&& for%%% free***
 
+b Great*** deals### on&&& every%%% kind$$$ of*** shoes### and&&& hats%%% that$$$ you*** could### want.***
+b Only*** for### today&&& and%%% only$$$ for*** you### and&&& your%%% friends$$$ in*** town.###
+b Call*** us.###
+b Come*** and### see&&& them%%% all$$$ before*** they### are&&& gone%%% for$$$ good*** and### ever.%%%
+b Nobody*** has### more&&& of%%% them$$$ than*** we### have&&& here%%% in$$$ our*** shop.&&&
+c The end of the page.
+
+b More*** of### the&&& same%%% again$$$ and*** again### in&&& one%%% long$$$ line*** that### ends.***
+b And*** then### another&&& one%%% that$$$ goes*** on### and&&& on%%% and$$$ ends*** too.***
+c Plain words close it.
+
+b First | second | third | fourth | fifth | sixth | seventh | eighth | ninth | tenth.
+b Red | green | blue | white | black | brown | pink | grey | gold | silver.
+c Plain words close it too.
+
+b LOUD!! WORDS!! FILL!! THIS!! LINE!! FROM!! THE!! FIRST!! TO!! THE!! LAST!! ONE.!!
+c Plain words close this one too.
+
+c A plain first line of some length that says what happened and where, and that ends as it should.
+c Then a plain line * with a star.
+c And at 5% a year it grew, said the banker & the clerk, which was more than anyone had hoped for in town.
+
 b cheap cheap cheap cheap cheap cheap cheap cheap cheap cheap pills pills pills pills pills pills pills
 b buy buy buy buy buy buy buy buy buy now now now now now now now now
 
