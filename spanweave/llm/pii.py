@@ -120,8 +120,21 @@ def _cues() -> list[np.ndarray]:
     return [_cue_hashes(v) for v in CUES.values()]
 
 
-def shapes(scan: Texts, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """The flags of each word as bits."""
+def _after(flags: np.ndarray, line: np.ndarray, n: int) -> np.ndarray:
+    """Whether the word ``n`` places before (after, if negative) in the same line has the flag."""
+    out = np.zeros(len(flags), bool)
+    if n > 0:
+        out[n:] = flags[:-n] & (line[n:] == line[:-n])
+    else:
+        out[:n] = flags[-n:] & (line[:n] == line[-n:])
+    return out
+
+
+def shapes(scan: Texts, starts: np.ndarray, ends: np.ndarray, line: np.ndarray) -> np.ndarray:
+    """The flags of each word as bits; ``line`` tells lines apart.
+
+    A spelt-out at sign counts where a spelt-out dot is two words on, and such a dot two words after either of them.
+    """
     low = scan.lowered().data
     count = {}
     for name, chars in _CLASS.items():
@@ -145,7 +158,11 @@ def shapes(scan: Texts, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         (digits > 0) & (alpha > 0),
     ]
     hashes = span_hashes(low, starts, ends)
-    flags += [np.isin(hashes, cue) for cue in _cues()]
+    cues = dict(zip(CUES, (np.isin(hashes, cue) for cue in _cues()), strict=True))
+    ats, dots = cues["at_word"], cues["dot_word"]
+    near = dots & _after(ats, line, 2)
+    cues["at_word"], cues["dot_word"] = ats & _after(dots, line, -2), near | dots & _after(near, line, 2)
+    flags += cues.values()
     out = np.zeros(len(starts), np.int64)
     for i, f in enumerate(flags):
         out |= f.astype(np.int64) << i
@@ -231,7 +248,7 @@ def labelled_words(repeats: int = 4) -> list[tuple[list[int], list[int]]]:
             tags += [NONE] * (len(words) - len(tags))
             scan = Texts.of(pa.array([" ".join(words)], pa.large_string()))
             starts, ends, _ = scan.words()
-            out.append((shapes(scan, starts, ends).tolist(), tags))
+            out.append((shapes(scan, starts, ends, np.zeros(len(starts), np.int64)).tolist(), tags))
     return out
 
 
@@ -253,9 +270,9 @@ def crf_spans(scan: Texts, crf: Crf) -> list[list[Span]]:
     starts, ends, docs = scan.words()
     if not len(starts):
         return out
-    codes = shapes(scan, starts, ends)
     feeds = prefix(scan.data == 10)
     line = feeds[starts] + docs  # both ascend, and a new text or line feed adds one
+    codes = shapes(scan, starts, ends, line)
     if crf.silent():
         keep = np.isin(line, np.unique(line[codes > 0]))
         starts, ends, docs, codes, line = starts[keep], ends[keep], docs[keep], codes[keep], line[keep]
