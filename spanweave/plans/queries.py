@@ -1,4 +1,244 @@
-"""Registered queries over the driver's tables and the SQL that they are held against."""
+"""Registered queries over the driver's tables and the SQL that they are held against.
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+Each runs over whole tables.  The SQL says the same by arithmetic or regular expressions, independent of the matcher.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..grammar import library
+from ..grammar.notation import parse as read_grammar
+from ..operators import edits, grammars, spans
+from ..operators.parse import parse_documents
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _parsed(spark, sf_dir, table, grammar, payload, keep, with_tiles=False) -> DataFrame:
+    return parse_documents(_table(spark, sf_dir, table), library.program(grammar), payload, keep, with_tiles)
+
+
+def _events(spark, sf_dir, keep, with_tiles=False) -> DataFrame:
+    return _parsed(spark, sf_dir, "events", "json", "props", keep, with_tiles)
+
+
+def captures_json(spark, sf_dir):
+    return spans.captures(_events(spark, sf_dir, ["event_id"]), ["event_id"]).select("event_id", "capture_idx", "kind", "start", "end")
+
+
+def captures_by_kind(spark, sf_dir):
+    return spans.captures(_events(spark, sf_dir, []), []).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+def capture_number_sum(spark, sf_dir):
+    found = spans.captures(_events(spark, sf_dir, ["event_type", "props"]), ["event_type", "props"]).where("kind = 'number'")
+    return found.groupBy("event_type").agg(F.sum(spans.literal("props", "start", "end").cast("long")).alias("total"))
+
+
+def segments_json(spark, sf_dir):
+    return spans.segments(_events(spark, sf_dir, ["event_id"], True), ["event_id"])
+
+
+def gap_bytes(spark, sf_dir):
+    rows = spans.segments(_events(spark, sf_dir, ["event_type"], True), ["event_type"])
+    return rows.groupBy("event_type").agg(F.sum(F.when(F.col("kind").isNull(), F.col("end") - F.col("start")).otherwise(0)).alias("gap_bytes"))
+
+
+def tiling_check(spark, sf_dir):
+    parsed = _parsed(spark, sf_dir, "documents", "lines", "text", ["doc_id"], True)
+    covered = F.aggregate("tiles", F.lit(0).cast("long"), lambda acc, t: acc + t.end - t.start)
+    return parsed.select("doc_id", "n_bytes", covered.alias("covered"))
+
+
+def literal_slice(spark, sf_dir):
+    keep = ["event_id", "props"]
+    rows = spans.captures(_events(spark, sf_dir, keep), keep).where("kind in ('property', 'number')")
+    return rows.select("event_id", "kind", spans.literal("props", "start", "end").alias("literal"))
+
+
+def kind_covering_byte(spark, sf_dir):
+    parsed = _events(spark, sf_dir, ["event_id"], True)
+    return parsed.select("event_id", *(spans.kind_at(parsed, i).alias(f"at_{i}") for i in (0, 1, 4, 5, 6)))
+
+
+def word_tokens(spark, sf_dir):
+    parsed = _parsed(spark, sf_dir, "documents", "lines", "text", ["doc_id"])
+    return parsed.select("doc_id", F.size(F.filter("captures", lambda c: c.kind == "word")).cast("long").alias("n_words"))
+
+
+def line_tokens(spark, sf_dir):
+    parsed = _parsed(spark, sf_dir, "documents", "lines", "text", ["doc_id"])
+    return parsed.select("doc_id", F.size(F.filter("captures", lambda c: c.kind == "line")).cast("long").alias("n_lines"))
+
+
+def turn_tokens(spark, sf_dir):
+    parsed = _parsed(spark, sf_dir, "conversations", "lines", "text", ["role"])
+    counted = parsed.select("role", F.size(F.filter("captures", lambda c: c.kind == "word")).cast("long").alias("_n"))
+    return counted.groupBy("role").agg(F.sum("_n").alias("n_words"), F.count("*").alias("n_turns"))
+
+
+def tag_tokens(spark, sf_dir):
+    keep = ["html"]
+    rows = spans.captures(_parsed(spark, sf_dir, "pages", "tags", "html", keep), keep).where("kind = 'name'")
+    named = rows.select(F.lower(spans.literal("html", "start", "end")).alias("tag"))
+    return named.groupBy("tag").agg(F.count("*").alias("n"))
+
+
+def comment_spans(spark, sf_dir):
+    parsed = _parsed(spark, sf_dir, "pages", "tags", "html", ["page_id"])
+    return parsed.select("page_id", F.size(F.filter("captures", lambda c: c.kind == "comment")).cast("long").alias("n_comments"))
+
+
+def partial_matches(spark, sf_dir):
+    return _parsed(spark, sf_dir, "documents", "json", "text", ["doc_id"]).where("not complete").select("doc_id", "n_bytes")
+
+
+def depth_hist(spark, sf_dir):
+    rows = spans.captures(_parsed(spark, sf_dir, "documents", "lines", "text", []), [])
+    return rows.groupBy("depth", "kind").agg(F.count("*").alias("n"))
+
+
+def parent_edges(spark, sf_dir):
+    rows = spans.captures(_parsed(spark, sf_dir, "documents", "lines", "text", ["doc_id"]), ["doc_id"])
+    return spans.edges(rows, ["doc_id"]).groupBy("parent_kind", "kind").agg(F.count("*").alias("n"))
+
+
+def fold_count(spark, sf_dir):
+    rows = spans.captures(_parsed(spark, sf_dir, "documents", "lines", "text", ["doc_id"]), ["doc_id"]).where("kind = 'word'")
+    per_line = rows.groupBy("doc_id", "parent").agg(F.count("*").alias("_n"))
+    return per_line.groupBy("doc_id").agg(F.max("_n").alias("most_words"), F.sum("_n").alias("n_words"))
+
+
+def recovery_spans(spark, sf_dir):
+    rows = spans.captures(_parsed(spark, sf_dir, "documents", "words", "text", ["doc_id"]), ["doc_id"])
+    found = spans.recovery_spans(rows, ["doc_id"])
+    return found.groupBy("doc_id").agg(F.count("*").alias("n_spans"), F.sum(F.col("end") - F.col("start")).alias("n_bytes"), F.sum("n_captures").alias("n_captures"))
+
+
+def recovery_clusters(spark, sf_dir):
+    parsed = _parsed(spark, sf_dir, "documents", "words", "text", ["doc_id"])
+    found = spans.clusters(spans.captures(parsed, ["doc_id"]), spans.notes(parsed, ["doc_id"]), ["doc_id"])
+    return found.select("leaf", "label", "n")
+
+
+def orphan_checks(spark, sf_dir):
+    parsed = _parsed(spark, sf_dir, "documents", "words", "text", ["doc_id"])
+    rows, told = spans.captures(parsed, ["doc_id"]), spans.notes(parsed, ["doc_id"])
+    made = spans.orphan_captures(rows, told, ["doc_id"]).select(F.lit("capture").alias("orphan"))
+    return made.unionAll(spans.orphan_notes(rows, told, ["doc_id"]).select(F.lit("note").alias("orphan"))).groupBy("orphan").agg(F.count("*").alias("n"))
+
+
+def captures_by_lang(spark, sf_dir):
+    parsed = _parsed(spark, sf_dir, "documents", "lines", "text", ["doc_id", "lang"])
+    counted = parsed.select("doc_id", "lang", F.size(F.filter("captures", lambda c: c.kind == "word")).cast("long").alias("_n"))
+    joined = counted.join(_table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
+    return joined.groupBy("lang", "quality").agg(F.count("*").alias("n_docs"), F.sum("_n").alias("n_words"))
+
+
+def edit_replay(spark, sf_dir):
+    """Two edits an event: the number gives way to a list of itself and 7, then a blank is put in front."""
+    events = _table(spark, sf_dir, "events")
+    size = F.octet_length("props").cast("long")
+    first = events.select("event_id", F.lit(1).alias("seq"), F.lit(6).cast("long").alias("start"), (size - 1).alias("old_end"), F.concat(F.lit("["), F.expr("substring(props, 7, length(props) - 7)"), F.lit(", 7]")).alias("replacement"))
+    second = events.select("event_id", F.lit(2).alias("seq"), F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("old_end"), F.lit(" ").alias("replacement"))
+    after = edits.apply_edits(events.select("event_id", "props"), first.unionAll(second), "event_id", "props")
+    parsed = parse_documents(after, library.program("json"), "props", ["event_id"])
+    return parsed.select("event_id", "n_bytes", "complete", F.size("captures").cast("long").alias("n_captures"))
+
+
+def _sources():
+    return {name: read_grammar(library.source(name)) for name in library.NAMES}
+
+
+def rule_reference_counts(spark, sf_dir):
+    return grammars.rule_table(spark, _sources())
+
+
+def grammar_stats(spark, sf_dir):
+    return grammars.stats_table(spark, _sources())
+
+
+def follow_sets(spark, sf_dir):
+    return grammars.follow_table(spark, _sources())
+
+
+def lint_findings(spark, sf_dir):
+    return grammars.lint_table(spark, _sources())
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        captures_json, captures_by_kind, capture_number_sum, segments_json, gap_bytes, tiling_check, literal_slice,
+        kind_covering_byte, word_tokens, line_tokens, turn_tokens, tag_tokens, comment_spans, partial_matches,
+        depth_hist, parent_edges, fold_count, recovery_spans, recovery_clusters, orphan_checks, captures_by_lang,
+        edit_replay, rule_reference_counts, grammar_stats, follow_sets, lint_findings,
+    )
+}
+
+_WORDS = "len(regexp_extract_all(coalesce(text, ''), '[A-Za-z]+'))"
+_LINES = "len(regexp_extract_all(coalesce(text, ''), '[^\\n]+'))"
+_BYTES = "strlen(coalesce(text, ''))"
+_ODD = "regexp_replace(coalesce(text, ''), '[A-Za-z \\t\\n\\r]', '', 'g')"
+_NO_COMMENTS = "regexp_replace(coalesce(html, ''), '(?s)<!--.*?-->', ' ', 'g')"
+_NUMBER = "CAST(json_extract(props, '$.k') AS BIGINT)"
+
+ORACLE_SQL: dict[str, str] = {
+    "captures_json": """
+        SELECT event_id, CAST(c.i AS INTEGER) AS capture_idx, c.k AS kind, CAST(c.s AS BIGINT) AS "start", CAST(c.e AS BIGINT) AS "end"
+        FROM (SELECT event_id, unnest([
+            {'i': 0, 'k': 'punctuation', 's': 0, 'e': 1}, {'i': 1, 'k': 'property', 's': 1, 'e': 4},
+            {'i': 2, 'k': 'punctuation', 's': 4, 'e': 5}, {'i': 3, 'k': 'number', 's': 6, 'e': strlen(props) - 1},
+            {'i': 4, 'k': 'punctuation', 's': strlen(props) - 1, 'e': strlen(props)}]) AS c FROM events)""",
+    "captures_by_kind": """
+        SELECT kind, CAST(n AS BIGINT) AS n FROM (
+            SELECT 'punctuation' AS kind, 3 * count(*) AS n FROM events UNION ALL SELECT 'property', count(*) FROM events
+            UNION ALL SELECT 'number', count(*) FROM events)""",
+    "capture_number_sum": f"SELECT event_type, CAST(sum({_NUMBER}) AS BIGINT) AS total FROM events GROUP BY event_type",
+    "segments_json": """
+        SELECT event_id, CAST(c.s AS BIGINT) AS "start", CAST(c.e AS BIGINT) AS "end", c.k AS kind
+        FROM (SELECT event_id, unnest([
+            {'k': 'punctuation', 's': 0, 'e': 1}, {'k': 'property', 's': 1, 'e': 4}, {'k': 'punctuation', 's': 4, 'e': 5},
+            {'k': NULL, 's': 5, 'e': 6}, {'k': 'number', 's': 6, 'e': strlen(props) - 1},
+            {'k': 'punctuation', 's': strlen(props) - 1, 'e': strlen(props)}]) AS c FROM events)""",
+    "gap_bytes": "SELECT event_type, CAST(count(*) AS BIGINT) AS gap_bytes FROM events GROUP BY event_type",
+    "tiling_check": f"SELECT doc_id, CAST({_BYTES} AS BIGINT) AS n_bytes, CAST({_BYTES} AS BIGINT) AS covered FROM documents",
+    "literal_slice": f"""
+        SELECT event_id, 'property' AS kind, '"k"' AS literal FROM events
+        UNION ALL SELECT event_id, 'number', CAST({_NUMBER} AS VARCHAR) FROM events""",
+    "kind_covering_byte": """
+        SELECT event_id, 'punctuation' AS at_0, 'property' AS at_1, 'punctuation' AS at_4, CAST(NULL AS VARCHAR) AS at_5,
+            'number' AS at_6 FROM events""",
+    "word_tokens": f"SELECT doc_id, CAST({_WORDS} AS BIGINT) AS n_words FROM documents",
+    "line_tokens": f"SELECT doc_id, CAST({_LINES} AS BIGINT) AS n_lines FROM documents",
+    "turn_tokens": f"SELECT role, CAST(sum({_WORDS}) AS BIGINT) AS n_words, count(*) AS n_turns FROM conversations GROUP BY role",
+    "tag_tokens": f"""
+        SELECT lower(t) AS tag, count(*) AS n FROM (
+            SELECT unnest(regexp_extract_all({_NO_COMMENTS}, '</?([A-Za-z][A-Za-z0-9]*)[^>]*>', 1)) AS t FROM pages) GROUP BY lower(t)""",
+    "comment_spans": "SELECT page_id, CAST(len(regexp_extract_all(coalesce(html, ''), '(?s)<!--.*?-->')) AS BIGINT) AS n_comments FROM pages",
+    "partial_matches": f"SELECT doc_id, CAST({_BYTES} AS BIGINT) AS n_bytes FROM documents WHERE text IS NULL OR NOT json_valid(text)",
+    "depth_hist": f"""
+        SELECT 0::INTEGER AS depth, 'line' AS kind, CAST(sum({_LINES}) AS BIGINT) AS n FROM documents
+        UNION ALL SELECT 1::INTEGER, 'word', CAST(sum({_WORDS}) AS BIGINT) FROM documents""",
+    "parent_edges": f"""
+        SELECT CAST(NULL AS VARCHAR) AS parent_kind, 'line' AS kind, CAST(sum({_LINES}) AS BIGINT) AS n FROM documents
+        UNION ALL SELECT 'line', 'word', CAST(sum({_WORDS}) AS BIGINT) FROM documents""",
+    "fold_count": f"""
+        SELECT doc_id, CAST(list_max(list_transform(string_split(text, chr(10)), lambda x: len(regexp_extract_all(x, '[A-Za-z]+')))) AS BIGINT) AS most_words,
+            CAST({_WORDS} AS BIGINT) AS n_words FROM documents WHERE {_WORDS} > 0""",
+    "recovery_spans": f"""
+        SELECT doc_id, CAST(len(regexp_extract_all(text, '[^A-Za-z \\t\\n\\r]+')) AS BIGINT) AS n_spans,
+            CAST(strlen({_ODD}) AS BIGINT) AS n_bytes, CAST(length({_ODD}) AS BIGINT) AS n_captures
+        FROM documents WHERE {_ODD} <> ''""",
+    "recovery_clusters": f"""
+        SELECT 'text' AS leaf, 'recovery' AS label, CAST(sum(length({_ODD})) AS BIGINT) AS n FROM documents HAVING sum(length({_ODD})) > 0""",
+    "orphan_checks": "SELECT 'capture' AS orphan, CAST(0 AS BIGINT) AS n WHERE false",
+    "captures_by_lang": f"""
+        SELECT lang, quality, count(*) AS n_docs, CAST(sum({_WORDS}) AS BIGINT) AS n_words
+        FROM documents JOIN labels USING (doc_id) GROUP BY lang, quality""",
+    "edit_replay": "SELECT event_id, CAST(strlen(props) + 6 AS BIGINT) AS n_bytes, true AS complete, CAST(9 AS BIGINT) AS n_captures FROM events",
+}
