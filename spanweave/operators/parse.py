@@ -21,6 +21,8 @@ from ..kernel.matcher import Match, Matcher
 
 #: Bytes of documents matched before their captures are handed on; a longer document is a slice of its own.
 SLICE_BYTES = 1 << 20
+#: Below so many bytes a core, documents are dealt out before they are matched.
+SMALL_BYTES = 16 << 20
 CAPTURES = "array<struct<kind:string,start:long,end:long,depth:int,parent:int>>"
 NOTES = "array<struct<capture_index:int,pos:long,origin:string,rule_stack:array<string>,label:string>>"
 TILES = "array<struct<start:long,end:long,kind:string,capture_idx:int>>"
@@ -106,6 +108,17 @@ def _columns(docs: list[bytes], found: list[Match], with_tiles: bool) -> list[pa
     return out
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt over all cores if its size, as the optimizer estimates it, is small for them.
+
+    A small file is one row group and so one task, however many cores wait.  Larger inputs stay as they are: what is
+    moved is below ``SMALL_BYTES`` a core.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(4 * cores) if size < SMALL_BYTES * cores else df
+
+
 def parse_documents(df: DataFrame, program: Program, payload: str, keep: list[str], with_tiles: bool = False) -> DataFrame:
     """The columns ``keep`` of ``df``, then those of ``PARSED``, and ``tiles`` if asked for.
 
@@ -128,4 +141,4 @@ def parse_documents(df: DataFrame, program: Program, payload: str, keep: list[st
                 made = _columns(docs, [matcher.match(d) for d in docs], with_tiles)
                 yield pa.RecordBatch.from_arrays([batch.column(i).slice(a, b - a) for i in range(len(keep))] + made, names)
 
-    return narrow.mapInArrow(run, schema)
+    return spread(narrow).mapInArrow(run, schema)
