@@ -6,15 +6,19 @@ elements of their own (the Hamming distance bounds the symmetric difference from
 that reach a similarity of num / 100 differ in at most d(a + b) = (100 - num)(a + b) / (100 + num) elements.
 
 - Size bands.  A pair belongs to the band of its smaller set.  A band's sketch is cut into one piece more than its
-  largest pair may differ in, so some piece agrees wholly (pigeonhole).  A document needs to show only as many pieces
-  as its own largest pair needs, in its own band and in the band below if a partner can be there.  A piece is carried
-  as the XOR of 64-bit hashes of its elements: a linear digest of its parity bits over 2**64 places.
+  largest pair may differ in and some to spare, so some piece agrees wholly (pigeonhole).  A document shows its first
+  non-empty pieces, one more than its own largest pair may differ in, in its own band and in the band below if a
+  partner can be there.  Of two linked documents, let X be the one whose shown pieces end first: one of X's shown
+  pieces agrees, so it is not empty in the other either, which shows it too.  Empty pieces, which unrelated documents
+  have in common, are shown only by documents that have too few others; those show all.  A piece is carried as the
+  XOR of 64-bit hashes of its elements: a linear digest of its parity bits over 2**64 places.
 - Equal sets are one class before any search: classes come from partial aggregates, and a task shows the pieces of a
   class once.  So a group of copies makes no more pieces than there are tasks.
 - Documents that agree in a piece form a bucket.  All are compared with the bucket's first class (a star), then
   whatever still lies in different components inside a bucket is compared pair by pair; pairs of one component need
   no comparison, since only reachability is asked for.  No link between different texts is lost.
-- A pair is verified on the exact sets only if sizes and the distance of 1,024-bit folded sketches allow the link.
+- A pair is verified on the exact sets only if sizes and the distance of folded sketches allow the link.  These have
+  at least as many bits as the set has elements, so they tell long sets apart too; the longer of two is folded again.
 
 Memory: a worker holds a slice of texts, or one hub's set and one partner's.  Texts are shuffled once for each of the
 two verifications, only pairs' texts go on to the groups, and a hub with many partners is dealt out by a salt.
@@ -73,7 +77,7 @@ class Bands:
         return (100 - self.num) * total // (100 + self.num)
 
     def plan(self, size: int) -> list[tuple[int, int, int]]:
-        """(band, pieces of its sketch, pieces to show); empty where a link needs equal sets."""
+        """(band, pieces of its sketch, most elements a pair there may differ in); empty where a link needs equal sets."""
         if size not in self.plans:
             while self.lows[-1] <= size:
                 self.lows.append(max(self.lows[-1] + 1, int(self.lows[-1] * BAND_GROWTH)))
@@ -83,10 +87,11 @@ class Bands:
                 top = self.lows[band + 1] - 1
                 if 100 * top < self.num * size and band != own:
                     break
-                pieces = self.budget(top + 100 * top // self.num) + 1
+                most = self.budget(top + 100 * top // self.num)
+                pieces = most + most // 16 + 4  # to spare: about as many as are empty at the top of a band
                 need = self.budget(size + (100 * size // self.num if band == own else top))
                 if need:
-                    out.append((band, pieces, min(need + 1, pieces)))
+                    out.append((band, pieces, need))
             self.plans[size] = out
         return self.plans[size]
 
@@ -96,19 +101,21 @@ def piece_keys(values: np.ndarray, bands: Bands) -> np.ndarray:
     out = []
     mixed = mix(values ^ U64(0x5851F42D4C957F2D))
     high = values >> U64(32)
-    for band, pieces, show in bands.plan(len(values)):
+    for band, pieces, need in bands.plan(len(values)):
         piece = ((high * U64(pieces)) >> U64(32)).astype(np.int64)
         first = np.flatnonzero(np.diff(piece, prepend=-1))
         parity = np.zeros(pieces, U64)
         parity[piece[first]] = np.bitwise_xor.reduceat(mixed, first)
-        place = np.arange(show, dtype=np.uint64) + U64(band << 32)
-        out.append(mix(parity[:show] ^ mix(place + U64(0x1234567))))
+        shown = piece[first][: need + 1] if len(first) > need else np.arange(pieces)
+        place = shown.astype(np.uint64) + U64(band << 32)
+        out.append(mix(parity[shown] ^ mix(place + U64(0x1234567))))
     return np.concatenate(out) if out else np.zeros(0, U64)
 
 
 def folded(values: np.ndarray) -> np.ndarray:
-    """The parity sketch of FOLD_BITS bits, as longs."""
-    bits = np.bincount((mix(values ^ U64(0x5851F42D4C957F2D)) & U64(FOLD_BITS - 1)).astype(np.int64), minlength=FOLD_BITS) & 1
+    """The parity sketch as longs; its bits are a power of two, FOLD_BITS and the set's size at least."""
+    size = max(FOLD_BITS, 1 << (len(values) - 1).bit_length())
+    bits = np.bincount((mix(values ^ U64(0x5851F42D4C957F2D)) & U64(size - 1)).astype(np.int64), minlength=size) & 1
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
@@ -146,10 +153,17 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts)))
 
 
+def _halved(fold: str, other: str):
+    """``fold`` with its halves laid over each other if it is longer than ``other``."""
+    half = (F.size(fold) / 2).cast("int")
+    over = F.zip_with(F.slice(fold, F.lit(1), half), F.slice(fold, half + 1, half), lambda x, y: x.bitwiseXOR(y))
+    return F.when(F.size(fold) > F.size(other), over).otherwise(F.col(fold))
+
+
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, num: int) -> DataFrame:
     """Edges (u, v) between class representatives for those pairs (a, b) of signatures that are links."""
     side = lambda x: classes.select(F.col("s1").alias(x), F.col("rep").alias(f"rep_{x}"), F.col("n_shingles").alias(f"n_{x}"), F.col("fold").alias(f"fold_{x}"))
-    apart = F.aggregate(F.zip_with("fold_a", "fold_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    apart = F.aggregate(F.zip_with(_halved("fold_a", "fold_b"), _halved("fold_b", "fold_a"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     close = both.where((100 * F.least("n_a", "n_b") >= num * F.greatest("n_a", "n_b")) & (apart * (100 + num) <= (100 - num) * (F.col("n_a") + F.col("n_b"))))
     close = store.saved(close.select(F.col("rep_a").alias("u"), F.col("rep_b").alias("v")).where("u != v").distinct(), "pairs")
