@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import literals
 from ..grammar import library
 from ..grammar.notation import parse as read_grammar
 from ..operators import edits, grammars, spans
@@ -60,6 +61,18 @@ def literal_slice(spark, sf_dir):
     return rows.select("event_id", "kind", spans.literal("props", "start", "end").alias("literal"))
 
 
+def truncate_literal(spark, sf_dir):
+    return _table(spark, sf_dir, "events").select("event_id", literals.truncated(F.col("props"), 5).alias("shown"))
+
+
+def quote_literal(spark, sf_dir):
+    return _table(spark, sf_dir, "events").select("event_id", literals.quoted(F.col("props")).alias("quoted"))
+
+
+def kind_colours(spark, sf_dir):
+    return captures_by_kind(spark, sf_dir).select("kind", literals.colour(F.col("kind")).alias("colour"))
+
+
 def kind_covering_byte(spark, sf_dir):
     parsed = _events(spark, sf_dir, ["event_id"], True)
     return parsed.select("event_id", *(spans.kind_at(parsed, i).alias(f"at_{i}") for i in (0, 1, 4, 5, 6)))
@@ -174,7 +187,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         captures_json, captures_by_kind, capture_number_sum, segments_json, gap_bytes, tiling_check, literal_slice,
-        kind_covering_byte, word_tokens, line_tokens, turn_tokens, tag_tokens, comment_spans, partial_matches,
+        truncate_literal, quote_literal, kind_colours, kind_covering_byte, word_tokens, line_tokens, turn_tokens, tag_tokens, comment_spans, partial_matches,
         depth_hist, parent_edges, fold_count, recovery_spans, recovery_clusters, orphan_checks, captures_by_lang,
         edit_replay, rule_reference_counts, grammar_stats, follow_sets, lint_findings,
     )
@@ -210,6 +223,11 @@ ORACLE_SQL: dict[str, str] = {
     "literal_slice": f"""
         SELECT event_id, 'property' AS kind, '"k"' AS literal FROM events
         UNION ALL SELECT event_id, 'number', CAST({_NUMBER} AS VARCHAR) FROM events""",
+    "truncate_literal": "SELECT event_id, CASE WHEN strlen(props) <= 5 THEN props ELSE left(props, 5) || '…' END AS shown FROM events",
+    "quote_literal": "SELECT event_id, CAST(to_json(props) AS VARCHAR) AS quoted FROM events",
+    "kind_colours": """
+        SELECT 'punctuation' AS kind, chr(27) || '[37m' AS colour UNION ALL SELECT 'property', chr(27) || '[36m'
+        UNION ALL SELECT 'number', chr(27) || '[33m'""",
     "kind_covering_byte": """
         SELECT event_id, 'punctuation' AS at_0, 'property' AS at_1, 'punctuation' AS at_4, CAST(NULL AS VARCHAR) AS at_5,
             'number' AS at_6 FROM events""",
