@@ -10,10 +10,14 @@ node, presentation styles are the sequences of its children's labels, and conten
 - Composite importance of a branch: the mean over its nodes, weighted by how often they come with it and by GAMMA to
   the depth below it, so that a branch is judged by all that it holds.
 
-Branches of low importance are removed from each page of the host that has enough pages to tell.  Markup that says
-what it is (menus, headers, footers, asides, forms, scripts, adverts, notices, comments) has importance 0, and the
-article or main element has importance 1: copies of one article on a host would look like template otherwise.  Where
-a page has such an element, its text is taken from there.
+Branches of low importance that hold none of high importance are removed from each page of the host that has enough
+pages to tell.  Markup that says
+what it is (menus, headers, footers, asides, forms, scripts, adverts, notices, comments) has importance 0.  Where a page
+has an article or main element, its text is taken from there, less the branches of low importance inside.  What is
+inside is counted by distinct articles instead of pages, as copies of one article on a host would look like template
+otherwise; the element itself stays, and stays whole where nothing else would be left of it.
+
+Inline and empty elements are no nodes: their text belongs to the block around them, and goes or stays with it.
 
 Statistics are counted inside each task first; what is shuffled are counts by host, node and block, and one short list
 of branches a host.  Pages meet that list in a join that adaptive execution can split for hosts with many pages.
@@ -46,6 +50,8 @@ _CLASS = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title noscript template iframe noembed noframes xmp".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+#: Elements that are no nodes of a tree.
+_NO_NODE = _INLINE | _VOID
 #: Elements that end an open paragraph.
 _ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul".split())
 #: Elements that end an open one of the same kind; and what holds them.
@@ -69,7 +75,7 @@ class Node:
         self.noise = tag in _NOISE_TAGS or bool(words & _NOISE_WORDS)
         self.children: list = []
         self.parent = parent
-        self.path = f"{parent.path}/{self.label}" if parent else ""
+        self.path = "" if parent is None else parent.path if tag in _NO_NODE else f"{parent.path}/{self.label}"
 
 
 def parse(page: str) -> Node:
@@ -140,8 +146,8 @@ def _main(node: Node) -> list[Node]:
     return out
 
 
-def blocks(roots: list[Node], removed: frozenset[str] = frozenset()) -> list[tuple[str, str]]:
-    """(path, text) of the blocks below ``roots`` in page order, without noise and ``removed`` branches."""
+def blocks(roots: list[Node], removed: frozenset[str] = frozenset(), left_out: frozenset[Node] = frozenset()) -> list[tuple[str, str]]:
+    """(path, text) of the blocks below ``roots`` in page order, without noise, ``removed`` branches and the nodes ``left_out``."""
     out: list[tuple[str, str]] = []
     held: list[str] = []
     place = ""
@@ -163,7 +169,7 @@ def blocks(roots: list[Node], removed: frozenset[str] = frozenset()) -> list[tup
         if not opening:
             flush()
             continue
-        if x.noise or x.path in removed:
+        if x.noise or x in left_out or (x.path in removed and x.tag not in _NO_NODE and x.tag not in _MAIN):
             if x.tag not in _INLINE:
                 flush()
             continue
@@ -182,30 +188,33 @@ def blocks(roots: list[Node], removed: frozenset[str] = frozenset()) -> list[tup
 def extract(page: str, removed: frozenset[str] = frozenset()) -> str:
     root = parse(page)
     main = _main(root)
-    return " ".join(t for _, t in (blocks(main) if main else blocks([root], removed)))
+    return " ".join(t for _, t in (blocks(main, removed) or blocks(main) if main else blocks([root], removed)))
 
 
-def _styles(root: Node):
-    """(path, style) of every element outside of noise: its children's labels, runs of one label as one."""
-    work = [root]
+def _styles(root: Node, main: frozenset[Node]):
+    """(path, style, whether it is inside ``main``) of every element that is neither noise nor inline.  A style: the children's labels, runs of one label as one."""
+    work = [(root, False)]
     while work:
-        x = work.pop()
+        x, inside = work.pop()
         if x.noise:
             continue
-        labels = [c.label for c in x.children if isinstance(c, Node)]
-        yield x.path, ",".join(a for a, b in zip(labels, [None, *labels], strict=False) if a != b)
-        work.extend(c for c in x.children if isinstance(c, Node))
+        inside = inside or x in main
+        below = [c for c in x.children if isinstance(c, Node)]
+        if x.tag not in _NO_NODE:
+            labels = [c.label for c in below if c.tag not in _NO_NODE]
+            yield x.path, ",".join(a for a, b in zip(labels, [None, *labels], strict=False) if a != b), inside
+        work.extend((c, inside) for c in below)
 
 
 def _host() -> F.Column:
     return F.lower(F.coalesce(F.regexp_extract(F.col("url"), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1), F.lit("")))
 
 
-STAT_SCHEMA = "host string, path string, kind string, item long, pages long"
+STAT_SCHEMA = "host string, path string, kind string, item long, article long, pages long"
 
 
 def statistics(pages: DataFrame) -> DataFrame:
-    """(host, path, kind, item, pages): in how many pages of the host a node has a style, a block, or is there at all."""
+    """(host, path, kind, item, pages): in how many pages of the host (inside of articles: in how many distinct articles) a node has a style, a block, or is there at all."""
 
     def run(batches):
         held: Counter = Counter()
@@ -213,19 +222,23 @@ def statistics(pages: DataFrame) -> DataFrame:
         def out():
             rows = list(held.items())
             held.clear()
-            columns = [pa.array([k[i] for k, _ in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.string(), pa.int64()))]
-            return pa.RecordBatch.from_arrays([*columns, pa.array([n for _, n in rows], pa.int64())], ["host", "path", "kind", "item", "pages"])
+            columns = [pa.array([k[i] for k, _ in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64()))]
+            return pa.RecordBatch.from_arrays([*columns, pa.array([n for _, n in rows], pa.int64())], ["host", "path", "kind", "item", "article", "pages"])
 
         for batch in batches:
             for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 root = parse(page or "")
+                main = _main(root)
+                own = blocks(main)
+                article = _hash("\n".join(t for _, t in own))
                 seen = set()
-                for path, style in _styles(root):
-                    seen.add((host, path, "node", 0))
-                    seen.add((host, path, "style", _hash(style)))
-                # An article's blocks are protected, so that only what lies around it is counted.
-                for path, text in blocks([root], frozenset(x.path for x in _main(root))):
-                    seen.add((host, path, "block", _hash(text)))
+                for path, style, inside in _styles(root, frozenset(main)):
+                    seen.add((host, path, "node", 0, article if inside else None))
+                    seen.add((host, path, "style", _hash(style), article if inside else None))
+                for path, text in own:
+                    seen.add((host, path, "block", _hash(text), article))
+                for path, text in blocks([root], left_out=frozenset(main)):
+                    seen.add((host, path, "block", _hash(text), None))
                 held.update(seen)
                 if len(held) > HELD:
                     yield out()
@@ -233,7 +246,8 @@ def statistics(pages: DataFrame) -> DataFrame:
             yield out()
 
     counted = pages.mapInArrow(run, STAT_SCHEMA)
-    return counted.groupBy("host", "path", "kind", "item").agg(F.sum("pages").alias("pages"))
+    per_article = counted.groupBy("host", "path", "kind", "item", "article").agg(F.sum("pages").alias("pages"))
+    return per_article.groupBy("host", "path", "kind", "item").agg(F.sum(F.when(F.col("article").isNull(), F.col("pages")).otherwise(1)).alias("pages"))
 
 
 def _hash(text: str) -> int:
@@ -273,7 +287,12 @@ def main_texts(pages: DataFrame, page_id: str = "page_id", url: str = "url", sou
     pages = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.col(source).cast("string").alias("html"))
     hosted = pages.select("page_id", "url", "html", _host().alias("host"))
     stats = store.saved(statistics(hosted.select("host", "html")), "style-tree")
-    low = importances(stats).where((F.col("pages") >= min_pages) & (F.col("importance") < threshold) & (F.col("path") != ""))
+    # A branch goes where it and all that it holds are of low importance: what only leads to a branch that stays, stays.
+    told = importances(stats).where(F.col("pages") >= min_pages)
+    parts = F.split("path", "/")
+    above = F.array_join(F.slice(parts, 1, F.col("k")), "/")
+    held = told.select("host", "path", "importance", F.explode(F.sequence(F.lit(1), F.size(parts))).alias("k")).select("host", above.alias("path"), "importance")
+    low = held.groupBy("host", "path").agg(F.max("importance").alias("highest")).where((F.col("highest") < threshold) & (F.col("path") != ""))
     removed = low.groupBy("host").agg(F.sort_array(F.collect_set("path")).alias("removed"))  # templates' nodes, not pages
 
     def run(batches):

@@ -239,3 +239,12 @@ def test_style_tree_removes_what_all_pages_share(spark):
     rows = [(i, f"http://h.example/{i}", f"<body><div class=x1><span>Same words on all</span></div><div class=x2><p>Own words of page {i}</p></div></body>") for i in range(30)]
     got = site_tree.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert all(r.text == f"Own words of page {r.page_id}" for r in got) and len(got) == 30
+
+
+def test_style_tree_decides_inside_of_articles(spark):
+    story = "<article><h1>Title %d</h1><p>Own<br><i>words</i> of <a href=x>story %d</a>.</p><div class=bar><span>Send to a friend</span></div></article>"
+    rows = [(i, f"http://h.example/{i}", f"<body><div>Top</div>{story % (i, i)}</body>") for i in range(30)]
+    rows += [(100 + i, f"http://copies.example/{i}", f"<body>{story % (7, 7)}</body>") for i in range(30)]
+    got = {r.page_id: r.text for r in site_tree.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"Title {i} Own words of story {i}." for i in range(30))
+    assert all(got[100 + i] == "Title 7 Own words of story 7. Send to a friend" for i in range(30))
