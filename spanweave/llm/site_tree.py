@@ -11,11 +11,15 @@ node, presentation styles are the sequences of its children's labels, and conten
   the depth below it, so that a branch is judged by all that it holds.
 
 Branches of low importance that hold none of high importance are removed from each page of the host that has enough
-pages to tell.  Markup that says
-what it is (menus, headers, footers, asides, forms, scripts, adverts, notices, comments) has importance 0.  Where a page
-has an article or main element, its text is taken from there, less the branches of low importance inside.  What is
-inside is counted by distinct articles instead of pages, as copies of one article on a host would look like template
-otherwise; the element itself stays, and stays whole where nothing else would be left of it.
+pages to tell.  Markup that says what it is (menus, headers, footers, asides, forms, scripts, adverts, notices, comments)
+has importance 0.  Where a page has an article or main element, its text is taken from there, less the branches of low
+importance inside.  What is inside is counted by distinct articles instead of pages, as copies of one article on a host
+would look like template otherwise; the element itself stays, and stays whole where nothing else would be left of it.
+
+Words in a class, id or role say what a branch is, not what a page is: they don't touch html, body, article and main
+elements, nor an element that holds nearly all (``WRAPPER``) of the text of its article, or of its page where that has
+none.  Where every article or main element of a page is below such words, they don't touch what holds one of these
+and more than half of the page's text.
 
 Inline and empty elements are no nodes: their text belongs to the block around them, and goes or stays with it.
 
@@ -42,6 +46,8 @@ GAMMA = 0.7
 #: Branches below this importance are removed, on hosts with at least MIN_PAGES pages that have them.
 THRESHOLD = 0.3
 MIN_PAGES = 5
+#: An element with at least this share of the text is a wrapper, whatever it is called.
+WRAPPER = 0.9
 #: Counts that a task holds before it hands them on.
 HELD = 200_000
 
@@ -61,10 +67,11 @@ _NOISE_WORDS = frozenset(
     "ad ads advert adverts advertisement banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar side footer masthead topbar toolbar cookie cookies consent notice notices alert popup modal overlay newsletter subscribe signup login share sharing social comment comments reply replies disqus respond related recommended widget pagination pager skip contentinfo complementary search".split()
 )
 _MAIN = frozenset(("article", "main"))
+_WHOLE = _MAIN | {"html", "body"}
 
 
 class Node:
-    __slots__ = ("label", "tag", "noise", "children", "parent", "path")
+    __slots__ = ("label", "tag", "noise", "worded", "children", "parent", "path")
 
     def __init__(self, tag: str, attributes: str, parent: Node | None):
         found = {m[1].lower(): (m[2] or m[3] or m[4] or "") for m in _CLASS.finditer(attributes)} if attributes else {}
@@ -72,7 +79,8 @@ class Node:
         self.tag = "main" if found.get("role", "").lower() == "main" else tag
         self.label = f"{tag}.{names[0]}" if names else tag
         words = {w for v in found.values() for w in re.split(r"[^a-z]+", v.lower()) if w}
-        self.noise = tag in _NOISE_TAGS or bool(words & _NOISE_WORDS)
+        self.worded = tag not in _NOISE_TAGS and self.tag not in _WHOLE and bool(words & _NOISE_WORDS)
+        self.noise = tag in _NOISE_TAGS or self.worded
         self.children: list = []
         self.parent = parent
         self.path = "" if parent is None else parent.path if tag in _NO_NODE else f"{parent.path}/{self.label}"
@@ -88,7 +96,7 @@ def parse(page: str) -> Node:
         if m is None:
             if i < len(page):
                 at.children.append(page[i:])
-            return root
+            return _spared(root)
         if m.start() > i:
             at.children.append(page[i : m.start()])
         i = m.end()
@@ -146,6 +154,51 @@ def _main(node: Node) -> list[Node]:
     return out
 
 
+def _spared(root: Node) -> Node:
+    """The DOM, where wrappers are no noise for the words in their names."""
+    if not _main(root):
+        _spare(root, True)
+    for x in _main(root):
+        _spare(x, False)
+    return root
+
+
+def _spare(scope: Node, around_main: bool) -> None:
+    total, work = -1, [scope]
+    while work:
+        x = work.pop()
+        if x.noise:
+            if not x.worded:
+                continue
+            total, own = _size(scope) if total < 0 else total, _size(x)
+            if own < WRAPPER * total and not (around_main and 2 * own > total and _holds_main(x)):
+                continue
+            x.noise = False
+        work.extend(c for c in x.children if isinstance(c, Node))
+
+
+def _size(node: Node) -> int:
+    """Characters of text below a node, whatever its words say."""
+    n, work = 0, [node]
+    while work:
+        for c in work.pop().children:
+            if isinstance(c, str):
+                n += len(c.strip())
+            elif not c.noise or c.worded:
+                work.append(c)
+    return n
+
+
+def _holds_main(node: Node) -> bool:
+    work = [node]
+    while work:
+        x = work.pop()
+        if x.tag in _MAIN:
+            return True
+        work.extend(c for c in x.children if isinstance(c, Node) and (not c.noise or c.worded))
+    return False
+
+
 def blocks(roots: list[Node], removed: frozenset[str] = frozenset(), left_out: frozenset[Node] = frozenset()) -> list[tuple[str, str]]:
     """(path, text) of the blocks below ``roots`` in page order, without noise, ``removed`` branches and the nodes ``left_out``."""
     out: list[tuple[str, str]] = []

@@ -248,3 +248,20 @@ def test_style_tree_decides_inside_of_articles(spark):
     got = {r.page_id: r.text for r in site_tree.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert all(got[i] == f"Title {i} Own words of story {i}." for i in range(30))
     assert all(got[100 + i] == "Title 7 Own words of story 7. Send to a friend" for i in range(30))
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<body class="has-sidebar"><article>%s</article></body>',
+        '<main class="main-nav-offset">%s</main><p>else</p>',
+        '<article class="post comment-open">%s</article><p>else</p>',
+        '<div class="sidebar-layout"><article>%s</article></div><p>else</p>',
+        '<div id="nav-page"><div class="with-sidebar">%s</div></div>',
+        '<article><div class="related-work">%s</div></article>',
+    ],
+)
+def test_html_words_do_not_condemn_what_holds_the_text(page):
+    story = "<p>All that the page has to say stands here.</p>"
+    assert site_tree.extract(page % (story + '<div class="share">me</div>')) == "All that the page has to say stands here."
+    assert site_tree.extract("<article>" + story + '<div class="comments">So they say, but who knows it?</div></article>') == "All that the page has to say stands here."
