@@ -1,7 +1,7 @@
 """Secret scans with a worklist that unwraps nested encodings.
 
-Base kinds are found in the text as it is: ``assign``, ``access`` and ``hex``.  Then URL escapes, Unicode escapes and
-base64 runs become layers; base64 that holds gzip, zlib, bzip2, xz or zstd data is decompressed.  Each new layer is
+Base kinds are found in the text as it is: ``assign``, ``access`` and ``hex``.  Then the text with its URL escapes
+decoded, the text with its Unicode escapes decoded and base64 runs become layers; base64 that holds gzip, zlib, bzip2, xz or zstd data is decompressed.  Each new layer is
 scanned and searched for further layers, until nothing new appears; a layer whose text and place were seen before ends
 there, so that cycles stop.  A find in a layer is mapped back to the original characters that it came from (one escape
 a character; base64 as a whole run) and reported as ``decoded_<kind>``, unless a base span of its kind lies there.
@@ -21,7 +21,7 @@ import hashlib
 import lzma
 import re
 import zlib
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -41,15 +41,15 @@ _KEYWORDS = ("passw", "secret", "token", "api")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{%d,}={0,2}" % RUN)
-_URL_RUN = re.compile(r"[^\x20\x09-\x0D]*?%[0-9A-Fa-f]{2}[^\x20\x09-\x0D]*")
 _URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-_UNICODE_RUN = re.compile(r"[^\x20\x09-\x0D]*?\\(?:u[0-9A-Fa-f]{4}|u\{[0-9A-Fa-f]{1,6}\}|x[0-9A-Fa-f]{2})[^\x20\x09-\x0D]*")
 _UNICODE = re.compile(r"\\(?:u([0-9A-Fa-f]{4})|u\{([0-9A-Fa-f]{1,6})\}|x([0-9A-Fa-f]{2}))")
 _HEXES, _RUNS = np.zeros(256, bool), np.zeros(256, bool)
 _HEXES[[ord(c) for c in "0123456789abcdef"]] = True
 _RUNS[[ord(c) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"]] = True
 
 Span = tuple[str, int, int]
+#: Starts of a layer's pieces; starts and ends of what they come from, the end None where a piece is taken as it is.
+Pieces = tuple[list[int], list[int], list[int | None]]
 
 
 def base_spans(text: str, hexes: bool = True) -> list[Span]:
@@ -125,29 +125,46 @@ def _base64_layer(run: str) -> str | None | bool:
     return _as_text(data)
 
 
-def _escapes(run: str, url: bool) -> tuple[str, list[tuple[int, int]]]:
-    """The run with its escapes decoded, and the part of the run that each character came from."""
-    chars: list[str] = []
-    origin: list[tuple[int, int]] = []
-    at = 0
-    for m in (_URL if url else _UNICODE).finditer(run):
-        chars += run[at : m.start()]
-        origin += [(i, i + 1) for i in range(at, m.start())]
-        at = m.end()
+def _escapes(text: str, url: bool) -> tuple[str, Pieces] | None:
+    """The whole text with its escapes decoded, and where its pieces come from; None where it has no escapes."""
+    parts: list[str] = []
+    at: list[int] = []
+    begin: list[int] = []
+    end: list[int | None] = []
+    n = done = 0
+
+    def add(part: str, a: int, b: int | None):
+        nonlocal n
+        parts.append(part), at.append(n), begin.append(a), end.append(b)
+        n += len(part)
+
+    for m in (_URL if url else _UNICODE).finditer(text):
+        if done < m.start():
+            add(text[done : m.start()], done, None)
+        done = m.end()
         if not url:
             code = int(m[1] or m[2] or m[3], 16)
-            chars.append(chr(code) if code < 0x110000 and not 0xD800 <= code < 0xE000 else "\ufffd")
-            origin.append((m.start(), m.end()))
+            add(chr(code) if code < 0x110000 and not 0xD800 <= code < 0xE000 else "\ufffd", m.start(), m.end())
             continue
         data, i = bytes.fromhex(m[0].replace("%", "")), 0
         while i < len(data):
-            n = next((n for n in (1, 2, 3, 4) if _valid(data[i : i + n])), 0)
-            chars.append(data[i : i + n].decode() if n else "\ufffd")
-            origin.append((m.start() + 3 * i, m.start() + 3 * (i + max(n, 1))))
-            i += max(n, 1)
-    chars += run[at:]
-    origin += [(i, i + 1) for i in range(at, len(run))]
-    return "".join(chars), origin
+            k = next((k for k in (1, 2, 3, 4) if _valid(data[i : i + k])), 0)
+            add(data[i : i + k].decode() if k else "\ufffd", m.start() + 3 * i, m.start() + 3 * (i + max(k, 1)))
+            i += max(k, 1)
+    if not done:
+        return None
+    if done < len(text):
+        add(text[done:], done, None)
+    return "".join(parts), (at, begin, end)
+
+
+def _place(origin, start: int, end: int) -> tuple[int, int]:
+    """Where a part of a layer comes from in the original text; ``origin``: (pieces, origin of the layer around it) or None."""
+    while origin is not None:
+        (at, begins, ends), origin = origin
+        i, k = bisect_right(at, start) - 1, bisect_right(at, end - 1) - 1
+        start, end = begins[i] + (start - at[i] if ends[i] is None else 0), begins[k] + end - at[k] if ends[k] is None else ends[k]
+    return start, end
 
 
 def _valid(data: bytes) -> bool:
@@ -158,19 +175,14 @@ def _valid(data: bytes) -> bool:
 
 
 def _layers(text: str):
-    """(layer, origins): the texts that are wrapped in ``text``; a layer of None is too long to be unpacked."""
-    if "%" in text:
-        for m in _URL_RUN.finditer(text):
-            layer, origin = _escapes(m[0], True)
-            yield layer, [(a + m.start(), b + m.start()) for a, b in origin]
-    if "\\" in text:
-        for m in _UNICODE_RUN.finditer(text):
-            layer, origin = _escapes(m[0], False)
-            yield layer, [(a + m.start(), b + m.start()) for a, b in origin]
+    """(layer, pieces): the texts that are wrapped in ``text``; a layer of None is too long to be unpacked."""
+    for sign, url in (("%", True), ("\\", False)):
+        if sign in text and (decoded := _escapes(text, url)):
+            yield decoded
     for m in _BASE64.finditer(text):
         layer = _base64_layer(m[0])
         if layer is not None:
-            yield (None if layer is True else layer), [m.span()]
+            yield (None if layer is True else layer), ([0], [m.start()], [m.end()])
 
 
 def scan(text: str, hexes: bool = True, runs: bool = True) -> tuple[list[Span], list[Span]]:
@@ -183,20 +195,19 @@ def scan(text: str, hexes: bool = True, runs: bool = True) -> tuple[list[Span],
     work, seen = [(text, None)], set()
     while work:
         layer, origin = work.pop()
-        for inner, where in _layers(layer):
-            if origin is not None:
-                where = [(origin[min(a, len(origin) - 1)][0], origin[min(b, len(origin)) - 1][1]) for a, b in where]
+        for inner, pieces in _layers(layer):
+            where = (pieces, origin)
             if inner is None:
-                found.add(("oversize", *where[0]))
+                found.add(("oversize", *_place(where, 0, 1)))
+                continue
+            if not inner or inner == layer:
                 continue
-            key = (hashlib.blake2b(inner.encode("utf-8", "surrogatepass"), digest_size=16).digest(), where[0], where[-1])
-            if key in seen or inner == layer:
+            key = (hashlib.blake2b(inner.encode("utf-8", "surrogatepass"), digest_size=16).digest(), _place(where, 0, len(inner)))
+            if key in seen:
                 continue
             seen.add(key)
-            if len(where) != len(inner):
-                where = where * len(inner)
             for kind, s, e in base_spans(inner):
-                a, b = where[s][0], where[e - 1][1]
+                a, b = _place(where, s, e)
                 own = places[kind]
                 k = bisect_left(own, (b, -1))
                 if not (k and own[k - 1][1] > a):

@@ -265,3 +265,10 @@ def test_html_words_do_not_condemn_what_holds_the_text(page):
     story = "<p>All that the page has to say stands here.</p>"
     assert site_tree.extract(page % (story + '<div class="share">me</div>')) == "All that the page has to say stands here."
     assert site_tree.extract("<article>" + story + '<div class="comments">So they say, but who knows it?</div></article>') == "All that the page has to say stands here."
+
+
+@pytest.mark.parametrize("text", [r'{"password": "\u0068unter2hunter2xx"}', 'token = "%68unter2hunter2xx"', "pass%77ord = hunter2hunter2xx", r"\u0070assword = %68unter2hunter2xx"])
+def test_secret_escapes_keep_keyword_and_value_together(text):
+    start = text.index("t") if text.startswith("token") else text.index("pass") if "pass" in text else 0
+    base, spans = secret_scan.scan("é " + text)
+    assert base == [] and spans == [("decoded_assign", 2 + start, 2 + text.rindex("xx") + 2)]
