@@ -1,7 +1,8 @@
 """Secret scans with a worklist that unwraps nested encodings.
 
 Base kinds are found in the text as it is: ``assign``, ``access`` and ``hex``.  Then the text with its URL escapes
-decoded, the text with its Unicode escapes decoded and base64 runs become layers; base64 that holds gzip, zlib, bzip2, xz or zstd data is decompressed.  Each new layer is
+decoded, the text with its Unicode escapes decoded and base64 runs become layers, each run by itself and
+neighbouring lines joined; base64 that holds gzip, zlib, bzip2, xz or zstd data is decompressed, all members of it.  Each new layer is
 scanned and searched for further layers, until nothing new appears; a layer whose text and place were seen before ends
 there, so that cycles stop.  A find in a layer is mapped back to the original characters that it came from (one escape
 a character; base64 as a whole run) and reported as ``decoded_<kind>``, unless a base span of its kind lies there.
@@ -18,10 +19,12 @@ import base64
 import binascii
 import bz2
 import hashlib
+import io
 import lzma
 import re
 import zlib
 from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +37,8 @@ from .bytescan import Texts
 BASE = ("assign", "access", "hex")
 KINDS = (*BASE, *(f"decoded_{k}" for k in BASE), "oversize")
 LAYER_BYTES = 64 << 20
+#: Bytes that are unpacked at once.
+PIECE_BYTES = 1 << 20
 RUN = 16
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -41,6 +46,9 @@ _KEYWORDS = ("passw", "secret", "token", "api")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{%d,}={0,2}" % RUN)
+#: Base64 lines below each other, the last one perhaps short; a line end may be written as an escape.
+_LINE_END = re.compile(r"[\x20\t]*(?:\r?\n|\r|(?:\\r)?\\n)[\x20\t>]*")
+_WRAPPED = re.compile(r"[A-Za-z0-9+/_-]{%d,}(?:%s[A-Za-z0-9+/_-]{%d,})*(?:%s[A-Za-z0-9+/_-]+)?={0,2}" % (RUN, _LINE_END.pattern, RUN, _LINE_END.pattern))
 _URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _UNICODE = re.compile(r"\\(?:u([0-9A-Fa-f]{4})|u\{([0-9A-Fa-f]{1,6})\}|x([0-9A-Fa-f]{2}))")
 _HEXES, _RUNS = np.zeros(256, bool), np.zeros(256, bool)
@@ -69,33 +77,85 @@ def _ordered(spans) -> list[Span]:
     return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
-def _unzipped(data: bytes) -> bytes | None | bool:
-    """Decompressed bytes; None where it isn't compressed data; True where the result is too long."""
-    try:
-        if data[:2] == b"\x1f\x8b":
-            unzip = zlib.decompressobj(31)
-        elif data[:1] == b"\x78" and len(data) > 2 and (data[0] << 8 | data[1]) % 31 == 0:
-            unzip = zlib.decompressobj()
-        elif data[:3] == b"BZh":
-            unzip = bz2.BZ2Decompressor()
-        elif data[:6] == b"\xfd7zXZ\x00":
-            unzip = lzma.LZMADecompressor()
-        elif data[:4] == b"\x28\xb5\x2f\xfd":
-            import zstandard
-
-            with zstandard.ZstdDecompressor().stream_reader(data) as reader:
-                out = reader.read(LAYER_BYTES + 1)
-            return True if len(out) > LAYER_BYTES else out
-        else:
-            return None
-        out = unzip.decompress(data, LAYER_BYTES + 1)
-        return True if len(out) > LAYER_BYTES else out
-    except (zlib.error, OSError, lzma.LZMAError, EOFError, ValueError):
-        return None
-    except Exception as e:  # zstandard has an error class of its own
-        if type(e).__name__ == "ZstdError":
-            return None
-        raise
+def _opened(data: bytes):
+    """An unpacker for data that begins as packed data do."""
+    if data[:2] == b"\x1f\x8b":
+        return zlib.decompressobj(31)
+    if data[:1] == b"\x78" and len(data) > 2 and (data[0] << 8 | data[1]) % 31 == 0:
+        return zlib.decompressobj()
+    if data[:3] == b"BZh":
+        return bz2.BZ2Decompressor()
+    if data[:6] == b"\xfd7zXZ\x00":
+        return lzma.LZMADecompressor()
+    return None
+
+
+class _Source(io.RawIOBase):
+    """What is left of a stream of bytes, as a file."""
+
+    def __init__(self, pieces: Iterator[bytes]):
+        self.pieces, self.held = pieces, b""
+
+    def read(self, n: int = -1) -> bytes:
+        self.held = self.held or next((x for x in self.pieces if x), b"")
+        out, self.held = (self.held, b"") if n < 0 else (self.held[:n], self.held[n:])
+        return out
+
+
+def _members(pieces: Iterator[bytes]) -> Iterator[bytes]:
+    """What all members of packed data unpack to, in bounded pieces, and what follows them as it is; ends where the data are broken."""
+    source = _Source(pieces)
+    data = b""
+    while True:
+        while len(data) < 6 and (more := source.read()):
+            data += more
+        if not data:
+            return
+        try:
+            if data[:4] == b"\x28\xb5\x2f\xfd":
+                import zstandard
+
+                source.held = data + source.held
+                with zstandard.ZstdDecompressor().stream_reader(source, read_across_frames=True) as reader:
+                    while out := reader.read(PIECE_BYTES):
+                        yield out
+                return
+            unzip = _opened(data)
+            if unzip is None:
+                while data:
+                    yield data
+                    data = source.read()
+                return
+            deflate = not hasattr(unzip, "needs_input")
+            while not unzip.eof:
+                out = unzip.decompress(data, PIECE_BYTES)
+                data = unzip.unconsumed_tail if deflate else b""
+                if out:
+                    yield out
+                elif not data and not unzip.eof and not (data := source.read()):
+                    return
+            data = unzip.unused_data
+        except (zlib.error, OSError, lzma.LZMAError, EOFError, ValueError):
+            return
+        except Exception as e:  # zstandard has an error class of its own
+            if type(e).__name__ == "ZstdError":
+                return
+            raise
+
+
+def _packed(data: bytes) -> bool:
+    return data[:4] == b"\x28\xb5\x2f\xfd" or _opened(data) is not None
+
+
+def _first(pieces: Iterator[bytes], least: int) -> bytes:
+    """The first bytes of a stream, ``least`` or a piece more, or all where it ends before."""
+    out, n = [], 0
+    for piece in pieces:
+        out.append(piece)
+        n += len(piece)
+        if n >= least:
+            break
+    return b"".join(out)
 
 
 def _as_text(data: bytes) -> str | None:
@@ -116,15 +176,42 @@ def _base64_layer(run: str) -> str | None | bool:
         data = base64.b64decode(body + "=" * (-len(body) % 4))
     except (binascii.Error, ValueError):
         return None
-    while (more := _unzipped(data)) is not None:
-        if more is True:
+    seen = set()
+    while _packed(data) and data not in seen:
+        seen.add(data)
+        more = _first(_members(iter([data])), LAYER_BYTES + 1)
+        if len(more) > LAYER_BYTES:
             return True
-        if more == data:
+        if not more:
             break
         data = more
     return _as_text(data)
 
 
+def _base64_runs(text: str) -> Iterator[tuple[int, int, str]]:
+    """(start, end, run): each base64 run, and neighbouring lines joined as one run.
+
+    Lines of one width go together, also with the line before them (whose beginning may be other text) and with the
+    shorter one after them; and so do all lines that follow one another.
+    """
+    for m in _BASE64.finditer(text):
+        yield m.start(), m.end(), m[0]
+    for m in _WRAPPED.finditer(text) if "\n" in text or "\r" in text or "\\n" in text else ():
+        breaks = [x.span() for x in _LINE_END.finditer(text, m.start(), m.end())]
+        if not breaks:
+            continue
+        lines = list(zip([m.start(), *(b for _, b in breaks)], [*(a for a, _ in breaks), m.end()], strict=True))
+        groups, i, n = {(0, len(lines))}, 0, len(lines)
+        while i < n:
+            k = i + 1
+            while k < n and lines[k][1] - lines[k][0] == lines[i][1] - lines[i][0]:
+                k += 1
+            groups |= {(a, b) for a in (i, max(i - 1, 0)) for b in (k, min(k + 1, n)) if b - a > 1}
+            i = k
+        for a, b in sorted(groups):
+            yield lines[a][0], lines[b - 1][1], "".join(text[x:y] for x, y in lines[a:b])
+
+
 def _escapes(text: str, url: bool) -> tuple[str, Pieces] | None:
     """The whole text with its escapes decoded, and where its pieces come from; None where it has no escapes."""
     parts: list[str] = []
@@ -179,10 +266,10 @@ def _layers(text: str):
     for sign, url in (("%", True), ("\\", False)):
         if sign in text and (decoded := _escapes(text, url)):
             yield decoded
-    for m in _BASE64.finditer(text):
-        layer = _base64_layer(m[0])
+    for start, end, run in _base64_runs(text):
+        layer = _base64_layer(run)
         if layer is not None:
-            yield (None if layer is True else layer), ([0], [m.start()], [m.end()])
+            yield (None if layer is True else layer), ([0], [start], [end])
 
 
 def scan(text: str, hexes: bool = True, runs: bool = True) -> tuple[list[Span], list[Span]]:

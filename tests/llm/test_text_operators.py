@@ -1,6 +1,7 @@
 """Operators that map each document by itself, against plain versions of their contracts."""
 
 import base64
+import bz2
 import gzip
 import hashlib
 import random
@@ -272,3 +273,15 @@ def test_secret_escapes_keep_keyword_and_value_together(text):
     start = text.index("t") if text.startswith("token") else text.index("pass") if "pass" in text else 0
     base, spans = secret_scan.scan("é " + text)
     assert base == [] and spans == [("decoded_assign", 2 + start, 2 + text.rindex("xx") + 2)]
+
+
+def test_secret_in_wrapped_base64_and_further_members():
+    rng = random.Random(1)
+    noise = "".join(rng.choice("ghijkl mnopqr.") for _ in range(1500))
+    hidden = f"{noise} password = hunter2hunter2xx {noise}".encode()
+    more = gzip.compress(b"nothing") + gzip.compress(b"secret=abcdefghijklmnop")
+    for data, line_end in ((gzip.compress(hidden), "\n"), (hidden, "\r\n"), (hidden[:-1], "\n  "), (zlib.compress(hidden), "\\n"), (more, ""), (bz2.compress(b"x") + bz2.compress(hidden), "")):
+        run = base64.b64encode(data).decode()
+        run = line_end.join(run[i : i + 76] for i in range(0, len(run), 76)) if line_end else run
+        _, spans = secret_scan.scan(f"see:\n{run}\nthe end")
+        assert any(kind == "decoded_assign" and s >= 5 and e >= 5 + len(run.rstrip("=")) for kind, s, e in spans), (line_end, spans)
