@@ -9,7 +9,8 @@ a character; base64 as a whole run) and reported as ``decoded_<kind>``, unless a
 
 Offsets are code points, ends exclusive.  Spans are ordered by start, then by kind as in ``KINDS``.
 
-Edge cases.  A null text is an empty one: no spans.  Undecodable runs make no layer.  A layer that would unpack to
+Edge cases.  A null text is an empty one: no spans.  Data that are no text, or only in part, are scanned all the same: as
+Latin-1, and as UTF-16 where that fits.  A layer that would unpack to
 more than ``LAYER_BYTES`` is reported as ``oversize`` instead of being unpacked, so nothing passes in silence.
 """
 
@@ -49,6 +50,8 @@ _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{%d,}={0,2}" % RUN)
 #: Base64 lines below each other, the last one perhaps short; a line end may be written as an escape.
 _LINE_END = re.compile(r"[\x20\t]*(?:\r?\n|\r|(?:\\r)?\\n)[\x20\t>]*")
 _WRAPPED = re.compile(r"[A-Za-z0-9+/_-]{%d,}(?:%s[A-Za-z0-9+/_-]{%d,})*(?:%s[A-Za-z0-9+/_-]+)?={0,2}" % (RUN, _LINE_END.pattern, RUN, _LINE_END.pattern))
+#: ASCII in UTF-16; big-endian text is little-endian one byte later.
+_WIDE = re.compile(rb"(?:[\x09-\x7e]\x00){8,}")
 _URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _UNICODE = re.compile(r"\\(?:u([0-9A-Fa-f]{4})|u\{([0-9A-Fa-f]{1,6})\}|x([0-9A-Fa-f]{2}))")
 _HEXES, _RUNS = np.zeros(256, bool), np.zeros(256, bool)
@@ -158,34 +161,33 @@ def _first(pieces: Iterator[bytes], least: int) -> bytes:
     return b"".join(out)
 
 
-def _as_text(data: bytes) -> str | None:
-    """UTF-8 of which almost everything is printable."""
-    try:
-        text = data.decode()
-    except UnicodeDecodeError:
-        return None
-    shown = sum(c.isprintable() or c in "\t\r\n" for c in text)
-    return text if text and shown >= 0.95 * len(text) else None
+def _texts(data: bytes) -> Iterator[str]:
+    """The data as Latin-1 (all that is looked for is ASCII), and as UTF-16 where that fits, at even or odd bytes."""
+    yield data.decode("latin-1")
+    for odd in sorted({m.start() % 2 for m in _WIDE.finditer(data)}):
+        yield data[odd:].decode("utf-16-le", "replace")
 
 
-def _base64_layer(run: str) -> str | None | bool:
+def _base64_layer(run: str) -> Iterator[str | None]:
+    """The texts in a run; None where it is too long to be unpacked."""
     body = run.rstrip("=").replace("-", "+").replace("_", "/")
     if len(body) % 4 == 1:
-        return None
+        return
     try:
         data = base64.b64decode(body + "=" * (-len(body) % 4))
     except (binascii.Error, ValueError):
-        return None
+        return
     seen = set()
     while _packed(data) and data not in seen:
         seen.add(data)
         more = _first(_members(iter([data])), LAYER_BYTES + 1)
         if len(more) > LAYER_BYTES:
-            return True
+            yield None
+            return
         if not more:
             break
         data = more
-    return _as_text(data)
+    yield from _texts(data)
 
 
 def _base64_runs(text: str) -> Iterator[tuple[int, int, str]]:
@@ -267,9 +269,8 @@ def _layers(text: str):
         if sign in text and (decoded := _escapes(text, url)):
             yield decoded
     for start, end, run in _base64_runs(text):
-        layer = _base64_layer(run)
-        if layer is not None:
-            yield (None if layer is True else layer), ([0], [start], [end])
+        for layer in _base64_layer(run):
+            yield layer, ([0], [start], [end])
 
 
 def scan(text: str, hexes: bool = True, runs: bool = True) -> tuple[list[Span], list[Span]]:

@@ -285,3 +285,12 @@ def test_secret_in_wrapped_base64_and_further_members():
         run = line_end.join(run[i : i + 76] for i in range(0, len(run), 76)) if line_end else run
         _, spans = secret_scan.scan(f"see:\n{run}\nthe end")
         assert any(kind == "decoded_assign" and s >= 5 and e >= 5 + len(run.rstrip("=")) for kind, s, e in spans), (line_end, spans)
+
+
+def test_secret_in_binary_layers():
+    secret = b"password = hunter2hunter2xx"
+    tar = b"name\0" * 40 + b"\0" * 512 + secret + b"\0" * 1024
+    wide = "Write é; $password = hunter2hunter2xx"
+    for data in (tar, gzip.compress(tar), b"one stray \xff byte, " + secret, wide.encode("utf-16-le"), wide.encode("utf-16"), wide.encode("utf-16-be"), b"\x01\xfe\x07" + zlib.compress(b"") + wide.encode("utf-16-le")):
+        run = base64.b64encode(data).decode()
+        assert secret_scan.scan(f"see {run} there")[1] == [("decoded_assign", 4, 4 + len(run))]
