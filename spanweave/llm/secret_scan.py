@@ -10,8 +10,9 @@ a character; base64 as a whole run) and reported as ``decoded_<kind>``, unless a
 Offsets are code points, ends exclusive.  Spans are ordered by start, then by kind as in ``KINDS``.
 
 Edge cases.  A null text is an empty one: no spans.  Data that are no text, or only in part, are scanned all the same: as
-Latin-1, and as UTF-16 where that fits.  A layer that would unpack to
-more than ``LAYER_BYTES`` is reported as ``oversize`` instead of being unpacked, so nothing passes in silence.
+Latin-1, and as UTF-16 where that fits.  A layer of more than ``LAYER_BYTES`` is unpacked in pieces and scanned in
+windows that overlap, whatever it unpacks to.  Only where base64 lines of more than ``LAYER_BYTES`` stand inside such a
+layer are they scanned in parts; this is reported as ``oversize``.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ import re
 import zlib
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,9 +39,12 @@ from .bytescan import Texts
 
 BASE = ("assign", "access", "hex")
 KINDS = (*BASE, *(f"decoded_{k}" for k in BASE), "oversize")
+#: A longer layer is scanned in windows of this many new bytes.
 LAYER_BYTES = 64 << 20
 #: Bytes that are unpacked at once.
 PIECE_BYTES = 1 << 20
+#: Bytes at least that a window of a long layer shares with the window before.
+OVERLAP_BYTES = 64 << 10
 RUN = 16
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -52,6 +57,8 @@ _LINE_END = re.compile(r"[\x20\t]*(?:\r?\n|\r|(?:\\r)?\\n)[\x20\t>]*")
 _WRAPPED = re.compile(r"[A-Za-z0-9+/_-]{%d,}(?:%s[A-Za-z0-9+/_-]{%d,})*(?:%s[A-Za-z0-9+/_-]+)?={0,2}" % (RUN, _LINE_END.pattern, RUN, _LINE_END.pattern))
 #: ASCII in UTF-16; big-endian text is little-endian one byte later.
 _WIDE = re.compile(rb"(?:[\x09-\x7e]\x00){8,}")
+#: What base64 lines are made of, line ends that are written as escapes included.
+_LINE_BYTES = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-=\\\r"
 _URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _UNICODE = re.compile(r"\\(?:u([0-9A-Fa-f]{4})|u\{([0-9A-Fa-f]{1,6})\}|x([0-9A-Fa-f]{2}))")
 _HEXES, _RUNS = np.zeros(256, bool), np.zeros(256, bool)
@@ -169,7 +176,7 @@ def _texts(data: bytes) -> Iterator[str]:
 
 
 def _base64_layer(run: str) -> Iterator[str | None]:
-    """The texts in a run; None where it is too long to be unpacked."""
+    """The texts in a run, long ones in windows; None where base64 lines in it had to be cut."""
     body = run.rstrip("=").replace("-", "+").replace("_", "/")
     if len(body) % 4 == 1:
         return
@@ -177,17 +184,68 @@ def _base64_layer(run: str) -> Iterator[str | None]:
         data = base64.b64decode(body + "=" * (-len(body) % 4))
     except (binascii.Error, ValueError):
         return
+    for window in _windows(_unpacked(data)):
+        if window is None:
+            yield None
+        else:
+            yield from _texts(window)
+
+
+def _unpacked(data: bytes) -> Iterator[bytes]:
+    """What packed data hold, unpacked again while that is packed too, in pieces; other data as they are."""
+    pieces: Iterator[bytes] = iter([data])
     seen = set()
-    while _packed(data) and data not in seen:
-        seen.add(data)
-        more = _first(_members(iter([data])), LAYER_BYTES + 1)
-        if len(more) > LAYER_BYTES:
+    while True:
+        head = _first(pieces, LAYER_BYTES)
+        key = hashlib.blake2b(head, digest_size=16).digest()
+        if key in seen or not _packed(head):
+            return chain([head], pieces)
+        seen.add(key)
+        inner = _members(chain([head], pieces))
+        first = next(inner, b"")
+        if not first:
+            return chain([head], pieces)
+        pieces = chain([first], inner)
+
+
+def _windows(pieces: Iterator[bytes]) -> Iterator[bytes | None]:
+    """The pieces joined to windows of about LAYER_BYTES.
+
+    A window begins with the end of the one before: OVERLAP_BYTES of it, or all of the base64 lines that were still
+    going on.  None where these were longer than LAYER_BYTES and had to be cut.
+    """
+    held: list[bytes] = []
+    new = 0
+    for piece in pieces:
+        held.append(piece)
+        new += len(piece)
+        if new <= LAYER_BYTES:
+            continue
+        window = b"".join(held)
+        yield window
+        keep = max(len(window) - _open_from(window), OVERLAP_BYTES)
+        if keep > LAYER_BYTES:
             yield None
-            return
-        if not more:
-            break
-        data = more
-    yield from _texts(data)
+            keep = OVERLAP_BYTES
+        held = [window[-keep:]]
+        new = 0
+    if new:
+        yield b"".join(held)
+
+
+def _open_from(data: bytes) -> int:
+    """Where the base64 lines begin that may go on after the data."""
+    end = len(data)
+    while end >= 0:
+        begin = data.rfind(b"\n", 0, end) + 1
+        line = data[begin:end].rstrip(b" \t\r")
+        if not line and (end < len(data) or end - begin > OVERLAP_BYTES):
+            return min(end + 1, len(data))
+        rest = line.rstrip(_LINE_BYTES)
+        if rest.strip(b" \t>"):
+            return begin + len(rest)
+        end = begin - 1
+    return 0
 
 
 def _base64_runs(text: str) -> Iterator[tuple[int, int, str]]:
@@ -264,7 +322,7 @@ def _valid(data: bytes) -> bool:
 
 
 def _layers(text: str):
-    """(layer, pieces): the texts that are wrapped in ``text``; a layer of None is too long to be unpacked."""
+    """(layer, pieces): the texts that are wrapped in ``text``; None stands for base64 lines that had to be cut."""
     for sign, url in (("%", True), ("\\", False)):
         if sign in text and (decoded := _escapes(text, url)):
             yield decoded
@@ -280,10 +338,10 @@ def scan(text: str, hexes: bool = True, runs: bool = True) -> tuple[list[Span],
     if not (runs or "%" in text or "\\" in text):
         return base, list(base)
     places = {k: sorted((s, e) for kind, s, e in base if kind == k) for k in BASE}
-    work, seen = [(text, None)], set()
-    while work:
-        layer, origin = work.pop()
-        for inner, pieces in _layers(layer):
+    work, seen = [(text, None, _layers(text))], set()
+    while work:  # depth first, so that no more than one window of a layer is held
+        layer, origin, inners = work[-1]
+        for inner, pieces in inners:
             where = (pieces, origin)
             if inner is None:
                 found.add(("oversize", *_place(where, 0, 1)))
@@ -300,7 +358,10 @@ def scan(text: str, hexes: bool = True, runs: bool = True) -> tuple[list[Span],
                 k = bisect_left(own, (b, -1))
                 if not (k and own[k - 1][1] > a):
                     found.add((f"decoded_{kind}", a, b))
-            work.append((inner, where))
+            work.append((inner, where, _layers(inner)))
+            break
+        else:
+            work.pop()
     return base, list(found)
 
 
