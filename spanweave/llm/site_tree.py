@@ -339,7 +339,7 @@ def main_texts(pages: DataFrame, page_id: str = "page_id", url: str = "url", sou
     """(page_id, url, text, n_chars) for every row of ``pages``."""
     pages = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.col(source).cast("string").alias("html"))
     hosted = pages.select("page_id", "url", "html", _host().alias("host"))
-    stats = store.saved(statistics(hosted.select("host", "html")), "style-tree")
+    stats = statistics(hosted.select("host", "html"))
     # A branch goes where it and all that it holds are of low importance: what only leads to a branch that stays, stays.
     told = importances(stats).where(F.col("pages") >= min_pages)
     parts = F.split("path", "/")
@@ -347,6 +347,7 @@ def main_texts(pages: DataFrame, page_id: str = "page_id", url: str = "url", sou
     held = told.select("host", "path", "importance", F.explode(F.sequence(F.lit(1), F.size(parts))).alias("k")).select("host", above.alias("path"), "importance")
     low = held.groupBy("host", "path").agg(F.max("importance").alias("highest")).where((F.col("highest") < threshold) & (F.col("path") != ""))
     removed = low.groupBy("host").agg(F.sort_array(F.collect_set("path")).alias("removed"))  # templates' nodes, not pages
+    removed = store.saved(removed, "style-tree")  # of known size, so that a short list is broadcast
 
     def run(batches):
         for batch in batches:
