@@ -12,24 +12,12 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-_BASE = U64(0x9E3779B97F4A7C15 | 1)
-_BLOCK = 1 << 18
-
-
-def _letters() -> np.ndarray:
-    rng = np.random.default_rng(20240229)
-    return rng.integers(1, 2**63, 256, dtype=np.uint64) | U64(1)
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    up = np.full(n, _BASE, U64)
-    down = np.full(n, U64(pow(int(_BASE), -1, 1 << 64)), U64)
-    up[0] = down[0] = 1
-    return np.cumprod(up, dtype=U64), np.cumprod(down, dtype=U64)
-
-
-LETTERS = _letters()
-_UP, _DOWN = _powers(_BLOCK)
+#: Eight-byte pieces of long spans that are hashed at once.
+_PIECES = 1 << 18
+#: Pieces that are hashed with those of the same place in all other spans; most words have no more.
+_SHORT = 2
+#: Spans whose arrays stay in a core's cache.
+_AT_ONCE = 1 << 13
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -101,34 +89,62 @@ class Texts:
         return span_hashes(self.data, starts, ends)
 
 
+def _eights(data: np.ndarray) -> np.ndarray:
+    """``data`` as little-endian 64-bit words, with zeros to spare at the end."""
+    return np.frombuffer(data.tobytes() + bytes(24 - len(data) % 8), "<u8")
+
+
+def _piece(words: np.ndarray, at: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """The up to eight bytes from each position on, of which ``left`` belong to the span; the others are zeros."""
+    low = words[at >> 3]
+    high = words[(at >> 3) + 1]
+    shift = ((at & 7) << 3).astype(U64)
+    value = (low >> shift) | ((high << U64(1)) << (U64(63) - shift))
+    return value & (U64(0xFFFFFFFFFFFFFFFF) >> ((8 - np.minimum(left, 8)) << 3).astype(U64))
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    out = np.empty(len(starts), U64)
+    """64 bits for each span: the sum of its eight-byte pieces, each mixed with its place in the span, and the length.
+
+    ``mix`` is no polynomial of the letters, so that texts of regular structure (periodic, self-similar) have no
+    hashes in common; two different spans share one by chance alone.
+    """
+    starts, ends = np.asarray(starts, np.int64), np.asarray(ends, np.int64)
+    words = _eights(data)
+    parts = [_hashes(words, starts[i : i + _AT_ONCE], ends[i : i + _AT_ONCE]) for i in range(0, len(starts), _AT_ONCE)]
+    return np.concatenate(parts) if parts else np.zeros(0, U64)
+
+
+def _hashes(words: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    size = ends - starts
+    total = mix(size.astype(U64) * U64(0xD6E8FEB86659FD93) + U64(1))
+    live = np.flatnonzero(size > 0)
+    for k in range(_SHORT):
+        left = size[live] - 8 * k
+        total[live] += mix(_piece(words, starts[live] + 8 * k, left) ^ _place(k))
+        live = live[left > 8]
+    more = (size[live] + 7) // 8 - _SHORT
+    until = np.cumsum(more)
     i = 0
-    while i < len(starts):
-        base = starts[i]
-        j = int(np.searchsorted(ends, base + _BLOCK - 1, "right"))
-        if j <= i:  # a span longer than a block
-            out[i] = _long_hash(data[base : ends[i]])
-            i += 1
-            continue
-        part = LETTERS[data[base : ends[j - 1]]]
-        total = np.zeros(len(part) + 1, U64)
-        np.cumsum(part * _UP[: len(part)], out=total[1:])
-        s, e = starts[i:j] - base, ends[i:j] - base
-        out[i:j] = (total[e] - total[s]) * _DOWN[s]
+    while i < len(live):  # the rest of long spans, as many at once as have _PIECES pieces
+        j = max(i + 1, int(np.searchsorted(until, until[i] - more[i] + _PIECES, "right")))
+        if more[i] > _PIECES:
+            for k in range(_SHORT, _SHORT + int(more[i]), _PIECES):
+                total[live[i]] += _pieces(words, starts[live[i : i + 1]], size[live[i : i + 1]], np.arange(k, min(k + _PIECES, _SHORT + more[i]))).sum(dtype=U64)
+        else:
+            own = np.repeat(live[i:j], more[i:j])
+            k = np.arange(len(own)) - np.repeat(until[i:j] - more[i:j] - (until[i] - more[i]), more[i:j]) + _SHORT
+            total[live[i:j]] += np.add.reduceat(_pieces(words, starts[own], size[own], k), until[i:j] - more[i:j] - (until[i] - more[i]))
         i = j
-    return mix(out + (ends - starts).astype(U64) * U64(0xD6E8FEB86659FD93))
+    return mix(total)
+
 
+def _pieces(words: np.ndarray, start: np.ndarray, size: np.ndarray, k: np.ndarray) -> np.ndarray:
+    return mix(_piece(words, start + 8 * k, size - 8 * k) ^ _place(k))
 
-def _long_hash(part: np.ndarray) -> np.uint64:
-    """The same polynomial for a span that is longer than the tables of powers."""
-    whole, scale = 0, 1
-    step = pow(int(_BASE), _BLOCK, 1 << 64)
-    for k in range(0, len(part), _BLOCK):
-        piece = LETTERS[part[k : k + _BLOCK]]
-        whole = (whole + scale * int((piece * _UP[: len(piece)]).sum(dtype=U64))) & ((1 << 64) - 1)
-        scale = scale * step & ((1 << 64) - 1)
-    return U64(whole)
+
+def _place(k: int | np.ndarray) -> np.ndarray:
+    return mix((np.atleast_1d(k).astype(U64) + U64(1)) * U64(0x9E3779B97F4A7C15))
 
 
 def grams(hashes: np.ndarray, docs: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -142,11 +158,6 @@ def grams(hashes: np.ndarray, docs: np.ndarray, n: int) -> tuple[np.ndarray, np.
     return total, places
 
 
-def sums(values: np.ndarray, docs: np.ndarray, n: int) -> np.ndarray:
-    """Sums of ``values`` by text."""
-    return np.bincount(docs, weights=values, minlength=n)
-
-
 def prefix(flags: np.ndarray) -> np.ndarray:
     """Running count with a leading zero: ``prefix(f)[e] - prefix(f)[s]`` counts ``f`` in a span."""
     out = np.zeros(len(flags) + 1, np.int64)
