@@ -16,6 +16,8 @@ U64 = np.uint64
 _PIECES = 1 << 18
 #: Pieces that are hashed with those of the same place in all other spans; most words have no more.
 _SHORT = 2
+#: Pieces after which spans are compared one by one.
+_LONG = 16
 #: Spans whose arrays stay in a core's cache.
 _AT_ONCE = 1 << 13
 SPACE = np.zeros(256, bool)
@@ -143,6 +145,26 @@ def _pieces(words: np.ndarray, start: np.ndarray, size: np.ndarray, k: np.ndarra
     return mix(_piece(words, start + 8 * k, size - 8 * k) ^ _place(k))
 
 
+def same_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np.ndarray, other_starts: np.ndarray, other_ends: np.ndarray) -> bool:
+    """Whether each span of ``data`` has the very bytes of the span of ``other`` at the same place in the lists."""
+    size = ends - starts
+    if not np.array_equal(size, other_ends - other_starts):
+        return False
+    one, two = _eights(data), _eights(other)
+    for i in range(0, len(size), _AT_ONCE):
+        live = np.arange(i, min(i + _AT_ONCE, len(size)))
+        for k in range(_LONG):
+            live = live[size[live] > 8 * k]
+            if not len(live):
+                break
+            if not np.array_equal(_piece(one, starts[live] + 8 * k, size[live] - 8 * k), _piece(two, other_starts[live] + 8 * k, size[live] - 8 * k)):
+                return False
+        for j in live[size[live] > 8 * _LONG].tolist():
+            if not np.array_equal(data[starts[j] : ends[j]], other[other_starts[j] : other_ends[j]]):
+                return False
+    return True
+
+
 def _place(k: int | np.ndarray) -> np.ndarray:
     return mix((np.atleast_1d(k).astype(U64) + U64(1)) * U64(0x9E3779B97F4A7C15))
 

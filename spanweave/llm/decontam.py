@@ -135,15 +135,9 @@ def origins(text: str) -> list[int]:
     return [*out, end]
 
 
-_MATCHERS: dict = {}
-
-
 def _matcher(held) -> Matcher:
     """One matcher a worker and block."""
-    if held.id not in _MATCHERS:
-        _MATCHERS.clear()
-        _MATCHERS[held.id] = Matcher(held.value)
-    return _MATCHERS[held.id]
+    return store.held_once(("matcher", held.id), lambda: Matcher(held.value))
 
 
 class _Held:
@@ -167,7 +161,8 @@ def item_blocks(benchmark: DataFrame, text: str = "text", item_id: str = "item_i
     for k in range(n):
         part = rows if n == 1 else rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
         items = sorted({(r.item_id, normal(r.text)) for r in part.toLocalIterator() if r.text.strip()})
-        out.append(_Held(spark.sparkContext.broadcast(items), (spark.sparkContext.applicationId, id(benchmark), k, total, len(items), hash(tuple(items[:50])))))
+        sent = spark.sparkContext.broadcast(items)
+        out.append(_Held(sent, (spark.sparkContext.applicationId, sent._jbroadcast.id())))
     return out
 
 
@@ -205,9 +200,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str
 
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """The rows of ``docs``, with their columns, that contain no item."""
-    mark = "_leaks"
-    while mark in docs.columns:
-        mark += "_"
+    mark = store.free_name("_leaks", docs)
     for held in item_blocks(benchmark):
         counted = store.with_columns(docs, text, lambda texts, held=held: [pa.array([len(x) for x in _matches(held, texts)], pa.int32())], f"`{mark}` int")
         docs = counted.where(F.col(mark) == 0).drop(mark)

@@ -38,13 +38,18 @@ FAMILIES = {
     "semitic": "ar he mt",
 }
 _FAMILY = {code: family for family, codes in FAMILIES.items() for code in codes.split()}
-_LETTER = re.compile(r"[^\W\d_]")
+_ASCII_LETTER = re.compile("[A-Za-z]")
 _FOLD = np.full(256, 32, np.uint8)
 _FOLD[97:123] = np.arange(97, 123)
 _FOLD[65:91] = np.arange(97, 123)
 _FOLD[128:] = np.arange(128, 256)
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character of a Unicode category of letters is there; digits and numerals of any kind are none."""
+    return _ASCII_LETTER.search(text) is not None or not text.isascii() and any(map(str.isalpha, text))
+
+
 def trigrams(scan: Texts) -> tuple[np.ndarray, np.ndarray]:
     """The bucket of the trigram that begins at each byte, -1 where there is none; and the text of each byte."""
     data = _FOLD[scan.data]
@@ -112,7 +117,7 @@ class Model:
 
     def predict(self, texts: pa.Array) -> list[pa.Array]:
         n = len(texts)
-        spoken = np.array([_LETTER.search(t) is not None for t in texts.to_pylist()], bool)
+        spoken = np.array([has_letter(t) for t in texts.to_pylist()], bool)
         lang, score = np.full(n, UNDETERMINED, object), np.zeros(n)
         if not self.families:
             return [pa.array(lang, pa.string()), pa.array(score)]

@@ -184,5 +184,6 @@ def sample(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = TAR
     """The rows of ``docs``, with their columns, drawn at their rates (at most 1) by a hash of doc_id."""
     found, _ = rates(docs, labelled, targets, max_rate=1.0, keep_total=False, text=text, doc_id=doc_id)
     draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(41)), F.lit(1 << 30)) / (1 << 30)
-    kept = found.where(draw < F.col("rate")).select(F.col("doc_id").alias("_kept"))
-    return docs.join(kept, F.col(doc_id).eqNullSafe(F.col("_kept")), "left_semi")
+    name = store.free_name("_kept", docs)
+    kept = found.where(draw < F.col("rate")).select(F.col("doc_id").alias(name))
+    return docs.join(kept, F.col(doc_id).eqNullSafe(F.col(name)), "left_semi")

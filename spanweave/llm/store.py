@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text handled at once inside a Python worker; a longer text is a slice of its own.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 def workdir(spark: SparkSession) -> str:
@@ -19,6 +19,8 @@ def workdir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="spanweave-")
         sc.setCheckpointDir(found)
     return found
@@ -49,6 +51,39 @@ def drop(df: DataFrame) -> None:
             jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
+_HELD: dict = {}
+
+
+def held_once(key, build: Callable):
+    """``build()``, kept in this worker process until another key is asked for: one model, matcher or encoder at a time."""
+    if key not in _HELD:
+        _HELD.clear()
+        release()
+        _HELD[key] = build()
+    return _HELD[key]
+
+
+def release() -> None:
+    """Hand memory that nothing uses any more back to the system; workers outlive the operator that grew them."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def free_name(name: str, df: DataFrame) -> str:
+    """``name``, made longer until ``df`` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def text_slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges of ``texts`` (no nulls) of about ``limit`` bytes each, never splitting a text."""
     sizes = pc.binary_length(texts).to_pylist()

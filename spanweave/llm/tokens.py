@@ -28,14 +28,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import store
-from .bytescan import LOWER, Texts
+from .bytescan import LOWER, Texts, same_spans
 
 LANE = 256
 BLOCK_IDS = 1 << 16
-#: Words whose ids a worker keeps; when as many are held, it starts anew.
-KNOWN_WORDS = 1_000_000
+#: Bytes of the distinct words whose ids a worker keeps; when as many are held, it starts anew.
+KNOWN_BYTES = 8 << 20
 #: Bytes of text that are encoded at once.
-SLICE = 8 << 20
+SLICE = 2 << 20
 END_ID = 1
 
 
@@ -53,11 +53,16 @@ class WordEncoder:
     which drops white space; then the ids of a text are those of its words in a row.  Where the tokenizer also lowers
     case and takes letters apart from other characters, so do the words here: marks that end a word after a letter are
     a word of their own.  That is left out for slices in which the string of a special token occurs.
+
+    Words are looked up by a hash, but ids are used only where the very bytes agree: if two words of a slice, or one
+    of it and a known one, share a hash, the texts of the slice go through the tokenizer as they are.
     """
 
     def __init__(self, spec: str):
         import json
+        import os
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a worker has one core; threads would hold memory of their own
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(spec)
@@ -70,17 +75,20 @@ class WordEncoder:
         self.known, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.begin, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint32)
+        self.bytes, self.starts, self.ends = np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def learn(self, hashes: np.ndarray, words: list[str]) -> None:
-        got = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+    def learn(self, hashes: np.ndarray, words: list[bytes]) -> None:
+        got = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
         size = np.fromiter(map(len, got), np.int64, len(got))
-        flat = np.array(list(chain.from_iterable(got)), np.uint32)
-        known = np.concatenate([self.known, hashes])
-        slot = np.concatenate([self.slot, np.arange(len(self.size), len(self.size) + len(got))])
-        order = np.argsort(known, kind="stable")
-        self.known, self.slot = known[order], slot[order]
+        flat = np.fromiter(chain.from_iterable(got), np.uint32, int(size.sum()))
+        order = np.argsort(hashes, kind="stable")
+        at = np.searchsorted(self.known, hashes[order])
+        self.known, self.slot = np.insert(self.known, at, hashes[order]), np.insert(self.slot, at, len(self.size) + order)
         self.begin = np.concatenate([self.begin, len(self.ids) + np.cumsum(size) - size])
         self.size, self.ids = np.concatenate([self.size, size]), np.concatenate([self.ids, flat])
+        ends = len(self.bytes) + np.cumsum([len(w) for w in words])
+        self.starts = np.concatenate([self.starts, [len(self.bytes)], ends[:-1]]) if len(words) else self.starts
+        self.ends, self.bytes = np.concatenate([self.ends, ends]), np.concatenate([self.bytes, np.frombuffer(b"".join(words), np.uint8)])
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """Slots of words by their hashes, -1 for new ones."""
@@ -112,25 +120,38 @@ class WordEncoder:
         ends_[cut] = last[cut] + 1
         return Texts(LOWER[data], scan.offsets), starts_, np.insert(ends_, where, ends[cut]), np.insert(docs, where, docs[cut])
 
-    def look_up(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-        """(number of each word's distinct word, slots of those, text of each word, number of texts)."""
+    def look_up(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, int] | None:
+        """(number of each word's distinct word, slots of those, text of each word, number of texts); None where two words share a hash."""
         scan, starts, ends, docs = self.words(texts)
         code, distinct = pd.factorize(scan.hashes(starts, ends))
-        if len(self.known) > KNOWN_WORDS:
+        if len(self.bytes) > KNOWN_BYTES:
             self.clear()
+        first = np.empty(len(distinct), np.int64)
+        first[code[::-1]] = np.arange(len(code) - 1, -1, -1)
+        from_, to = starts[first], ends[first]
         place = self.find(distinct)
-        new = np.flatnonzero(place < 0)
+        old, new = np.flatnonzero(place >= 0), np.flatnonzero(place < 0)
+        if not same_spans(scan.data, starts, ends, scan.data, from_[code], to[code]) or not same_spans(scan.data, from_[old], to[old], self.bytes, self.starts[place[old]], self.ends[place[old]]):
+            return None
         if len(new):
-            first = np.empty(len(distinct), np.int64)
-            first[code[::-1]] = np.arange(len(code) - 1, -1, -1)
             raw = scan.data.tobytes()
-            self.learn(distinct[new], [raw[a:b].decode() for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)])
+            self.learn(distinct[new], [raw[a:b] for a, b in zip(from_[new].tolist(), to[new].tolist(), strict=True)])
             place[new] = np.arange(len(self.size) - len(new), len(self.size))
         return code, place, docs, len(scan)
 
+    def plain(self, texts: pa.Array, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
+        """What ``encode`` returns, without words."""
+        end = [] if end_id is None else [end_id]
+        got = [e.ids + end for e in self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
+        sizes = np.fromiter(map(len, got), np.int64, len(got))
+        return np.fromiter(chain.from_iterable(got), np.uint32, int(sizes.sum())), sizes
+
     def encode(self, texts: pa.Array, end_id: int | None = END_ID) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a slice of texts in a row, and the number of ids of each text (with ``end_id`` at its end)."""
-        code, place, docs, n = self.look_up(texts)
+        found = self.look_up(texts)
+        if found is None:
+            return self.plain(texts, end_id)
+        code, place, docs, n = found
         begin, size = self.begin[place], self.size[place]
         ids = self.ids
         if end_id is not None:  # one more word, at the end of each text
@@ -146,7 +167,10 @@ class WordEncoder:
 
     def counts(self, texts: pa.Array, end_id: int | None = END_ID) -> np.ndarray:
         """How often each id occurs, from the counts of the distinct words."""
-        code, place, _, n = self.look_up(texts)
+        found = self.look_up(texts)
+        if found is None:
+            return np.bincount(self.plain(texts, end_id)[0], minlength=(end_id or 0) + 1).astype(np.int64)
+        code, place, _, n = found
         times, size = np.bincount(code, minlength=len(place)), self.size[place]
         from_ = self.begin[place] - np.cumsum(size) + size
         ids = self.ids[np.repeat(from_, size) + np.arange(int(size.sum()))]
@@ -156,15 +180,9 @@ class WordEncoder:
         return out
 
 
-_ENCODERS: dict[int, WordEncoder] = {}
-
-
 def encoder(spec: str) -> WordEncoder:
-    """One encoder in each worker process for each tokenizer."""
-    key = hash(spec)
-    if key not in _ENCODERS:
-        _ENCODERS[key] = WordEncoder(spec)
-    return _ENCODERS[key]
+    """One encoder in each worker process."""
+    return store.held_once(("encoder", spec), lambda: WordEncoder(spec))
 
 
 def count_ids(docs: DataFrame, spec, text: str = "text", end_id: int = END_ID) -> DataFrame:
@@ -180,6 +198,7 @@ def count_ids(docs: DataFrame, spec, text: str = "text", end_id: int = END_ID) -
                 total = np.pad(total, (0, max(0, len(got) - len(total))))
                 total[: len(got)] += got
         ids = np.flatnonzero(total)
+        store.release()
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(total[ids], pa.int64())], ["id", "n"])
 
     return docs.select(text).mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
@@ -346,10 +365,11 @@ def write_ids(docs: DataFrame, path: str, tokenizer_json: str, text: str = "text
         for x in _blocks(*held):
             yield _block(shard, before, *x, book.value)
             before += len(x[2])
+        store.release()
 
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = docs.repartitionByRange(shards, F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
-    ordered = ranged.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.length("text"), F.crc32(F.col("text").cast("binary")))
+    order = [F.col("doc_id").asc_nulls_first(), F.length("text").asc(), F.crc32(F.col("text").cast("binary")).asc(), F.col("text").asc()]
+    ordered = docs.repartitionByRange(shards, *order[:3]).sortWithinPartitions(*order)
     ordered.mapInArrow(run, BLOCK_SCHEMA).write.parquet(f"{path}/blocks")
     blocks = spark.read.parquet(f"{path}/blocks")
     # One row a shard: the number of shards is a setting, not a size of the corpus.
