@@ -1,7 +1,14 @@
 """A corpus pipeline: language, near copies, benchmark leaks, mixture, token files.
 
 Each stage takes (spark, docs, sf_dir), works on all rows that its predecessor kept, and returns a DataFrame; it is
-written as Parquet and read again as the next one's ``docs``.  All but the last return the columns of ``documents``.
+written as Parquet and read again as the next one's ``docs``.  All but the last return the columns of ``documents``,
+whatever they are: helper columns take names that are free.
+
+Edge cases.  An empty table passes all stages and ends as an empty index.  A null or empty text, or one without a
+letter, has no language and is rejected by the first stage, so that later ones see it only when called alone: then it
+is no copy of anything, contains no item and is one end id in the files.  Very long texts are handled whole.  Rows
+that repeat a doc_id count as one document: the second stage keeps one row of them (the least text), the others keep
+or drop them together.  Rows without a doc_id are kept by the second stage and share one rate in the fourth.
 """
 
 from __future__ import annotations
@@ -20,16 +27,24 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose language is predicted with enough certainty."""
     ship(spark)
     model = langid.train(docs.where(~langid.held_out()))
-    found = langid.identify(docs, model, lang_as="_lang_pred", score_as="_lang_score")
-    return found.where((F.col("_lang_pred") != langid.UNDETERMINED) & (F.col("_lang_score") >= LEAST_LANGUAGE_SCORE)).select(docs.columns)
+    lang, score = (store.free_name(name, docs) for name in ("_lang_pred", "_lang_score"))
+    found = langid.identify(docs, model, lang_as=lang, score_as=score)
+    return found.where((F.col(lang) != langid.UNDETERMINED) & (F.col(score) >= LEAST_LANGUAGE_SCORE)).select(docs.columns)
 
 
 def near_copy_groups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near copies (five words, a similarity of 0.8): that with the smallest doc_id."""
     ship(spark)
-    found = near_copies.near_copies(docs, n=5, num=80)
-    others = found.where("component_id != doc_id").select("doc_id").distinct()
-    return docs.join(others, "doc_id", "left_anti").select(docs.columns)
+    found = near_copies.near_copies(docs, n=5, num=80).where("doc_id is not null")
+    nodes = found.groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count("*").alias("n"))
+    nodes = store.saved(nodes.where("component_id != doc_id or n > 1"), "others")
+    kept = docs.join(nodes.where("component_id != doc_id").select("doc_id"), "doc_id", "left_anti").select(docs.columns)
+    repeated = nodes.where("component_id = doc_id").select("doc_id")
+    if repeated.isEmpty():
+        return kept
+    order = F.struct("text", F.xxhash64(*[c for c, kind in docs.dtypes if "map<" not in kind]))
+    once = kept.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), order).alias("row"))
+    return kept.join(repeated, "doc_id", "left_anti").select(docs.columns).unionByName(once.select("row.*"))
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
