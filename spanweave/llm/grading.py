@@ -81,7 +81,7 @@ class Model:
             o, b = pairs(found)
             owners.append(o + i), buckets.append(b), shares.append(share)
         owner, bucket, share = np.concatenate(owners), np.concatenate(buckets), np.concatenate(shares)
-        share = np.concatenate([share, np.sqrt(share)], 1)[:, : len(SHAPES)] * 4
+        share = share * 4
         seen = np.bincount(bucket, minlength=BUCKETS)
         use = np.flatnonzero(seen >= least)  # rarer words can't earn a weight under the penalty
         place = np.full(BUCKETS, -1)

@@ -9,7 +9,10 @@ fitted weights are checked to make such a line all ``none``, and if they didn't,
 
 Offsets are code points, ends exclusive; spans are ordered by start, then by kind as in ``KINDS``.
 
-Edge cases.  A null text is an empty one: no spans.
+Edge cases.  A null text is an empty one: no spans.  An empty table gives none.  Rows that repeat a doc_id keep a row
+each.  Texts are scanned whole, in time proportional to their length also where they are one run of digits, dots or
+letters.  Spans of two kinds may start at one place; they stand in the order of ``KINDS``.  Other columns, whatever
+their names, are ignored.
 """
 
 from __future__ import annotations
@@ -33,7 +36,8 @@ NONE = 0
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+#: No match begins inside a run of digits, since it would begin with the run then; saying so keeps long runs linear.
+_IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
@@ -53,6 +57,11 @@ def _digits(text: str) -> str:
     return "".join(_DIGIT.findall(text))
 
 
+def _octet(part: str) -> bool:
+    """``part``: digits without leading zeros, as many as there may be."""
+    return len(part) <= 3 and int(part or "0") <= 255
+
+
 def emails(text: str) -> list[tuple[int, int]]:
     """Leftmost matches of the pattern for addresses, found from their at signs: the local part is the longest run
     before one, and it can't reach into the match before."""
@@ -75,7 +84,7 @@ def base_spans(text: str) -> list[Span]:
     if "@" in text:
         out += [("email", *s) for s in emails(text)]
     if _DIGIT.search(text):
-        out += [("ip", *m.span()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+        out += [("ip", *m.span()) for m in _IP.finditer(text) if all(_octet(p.lstrip("0")) for p in m[0].split("."))]
         out += [("card", *m.span()) for m in _CARD.finditer(text) if 14 <= len(d := _digits(m[0])) <= 19 and luhn(d)]
         if "+" in text:
             out += [("phone", *m.span()) for m in _PHONE.finditer(text) if 10 <= len(_digits(m[0])) <= 15]
@@ -317,7 +326,6 @@ def all_spans(text: str, extra: list[Span]) -> tuple[list[Span], list[Span]]:
 def personal_data(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Counts of the base kinds, their digest and all spans, one row a document; map-only."""
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-
     held = docs.sparkSession.sparkContext.broadcast(model())  # fitted once; its size is that of the flags
 
     def work(batch, texts):

@@ -9,7 +9,8 @@ a character; base64 as a whole run) and reported as ``decoded_<kind>``, unless a
 
 Offsets are code points, ends exclusive.  Spans are ordered by start, then by kind as in ``KINDS``.
 
-Edge cases.  A null text is an empty one: no spans.  Data that are no text, or only in part, are scanned all the same: as
+Edge cases.  A null text is an empty one: no spans.  An empty table gives none, rows that repeat a doc_id keep a row
+each, other columns are ignored.  Texts are scanned whole, one unbroken run too.  Data that are no text, or only in part, are scanned all the same: as
 Latin-1, and as UTF-16 where that fits.  A layer of more than ``LAYER_BYTES`` is unpacked in pieces and scanned in
 windows that overlap, whatever it unpacks to.  Only where base64 lines of more than ``LAYER_BYTES`` stand inside such a
 layer are they scanned in parts; this is reported as ``oversize``.

@@ -26,8 +26,10 @@ Inline and empty elements are no nodes: their text belongs to the block around t
 Statistics are counted inside each task first; what is shuffled are counts by host, node and block, and one short list
 of branches a host.  Pages meet that list in a join that adaptive execution can split for hosts with many pages.
 
-Edge cases.  A null or blank page gives an empty text.  Unclosed, misplaced and cut-off tags are closed as a browser
-would.  A null url is a host of its own (``""``).  Rows that repeat a page_id keep a row each.
+Edge cases.  An empty table gives none.  A null or blank page gives an empty text.  Unclosed, misplaced and cut-off tags are closed as a browser
+would.  A null url is a host of its own (``""``).  Rows that repeat a page_id keep a row each, and
+count as pages of their own.  Very long and very deep pages are handled whole, elements deeper than ``DEPTH`` as
+siblings.  Other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -46,12 +48,16 @@ GAMMA = 0.7
 #: Branches below this importance are removed, on hosts with at least MIN_PAGES pages that have them.
 THRESHOLD = 0.3
 MIN_PAGES = 5
+#: Elements inside each other; a deeper one stands beside its parent, as in browsers.
+DEPTH = 512
 #: An element with at least this share of the text is a wrapper, whatever it is called.
 WRAPPER = 0.9
 #: Counts that a task holds before it hands them on.
 HELD = 200_000
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>\"'=<]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
+#: A quote begins a value only after an equals sign; every alternative takes what it can, so that nothing is tried twice.
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*(?:\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z)|[^\s\"'>][^\s>]*)?)*)(?:>|\Z)", re.S)
+_CLOSED = re.compile(r"(?:^|[\s\"'])/\s*\Z")
 _CLASS = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title noscript template iframe noembed noframes xmp".split())
@@ -71,7 +77,7 @@ _WHOLE = _MAIN | {"html", "body"}
 
 
 class Node:
-    __slots__ = ("label", "tag", "noise", "worded", "children", "parent", "path")
+    __slots__ = ("label", "tag", "noise", "worded", "children", "parent", "path", "depth", "inside")
 
     def __init__(self, tag: str, attributes: str, parent: Node | None):
         found = {m[1].lower(): (m[2] or m[3] or m[4] or "") for m in _CLASS.finditer(attributes)} if attributes else {}
@@ -80,8 +86,10 @@ class Node:
         self.label = f"{tag}.{names[0]}" if names else tag
         words = {w for v in found.values() for w in re.split(r"[^a-z]+", v.lower()) if w}
         self.worded = tag not in _NOISE_TAGS and self.tag not in _WHOLE and bool(words & _NOISE_WORDS)
-        self.noise = tag in _NOISE_TAGS or self.worded
+        self.inside = self.tag in _MAIN or (parent is not None and parent.inside)
+        self.noise = tag in _NOISE_TAGS or self.worded or (tag == "header" and not self.inside)  # an article's header is its title
         self.children: list = []
+        self.depth = 0 if parent is None else parent.depth + 1
         self.parent = parent
         self.path = "" if parent is None else parent.path if tag in _NO_NODE else f"{parent.path}/{self.label}"
 
@@ -120,13 +128,15 @@ def parse(page: str) -> Node:
                 at = _close(at, "dd" if tag == "dt" else "dt", _SAME[tag])
         if tag in ("body",):
             at = _close(at, "head", ())
+        if at.depth >= DEPTH:
+            at = at.parent
         node = Node(tag, m[3], at)
         at.children.append(node)
         if tag in _RAW:
             end = re.compile(rf"</{tag}\s*(?:>|\Z)", re.I).search(page, i)
             node.children.append(page[i : end.start() if end else len(page)])
             i = end.end() if end else len(page)
-        elif tag not in _VOID and not m[3].rstrip().endswith("/"):
+        elif tag not in _VOID and not _CLOSED.search(m[3]):
             at = node
 
 

@@ -5,7 +5,7 @@ import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from spanweave.llm import langid, mixing, queries, rules, tokens
+from spanweave.llm import decontam, grading, langid, mixing, pii, queries, rules, secret_scan, tokens
 from spanweave.llm.bytescan import Texts, same_spans, span_hashes
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -93,3 +93,40 @@ def test_near_copy_stage_keeps_one_row_of_a_group(spark):
 @pytest.mark.parametrize("stage", [x for _, x in corpus_pipeline.STAGES])
 def test_stages_take_empty_tables(spark, stage):
     assert stage(spark, spark.createDataFrame([], DOCS), "/root/testdata/sf0.001").count() == 0
+
+
+@pytest.mark.parametrize("text", ["7" * 300_000, "1." * 150_000, "1.2.3." + "0" * 300_000, "a" * 300_000 + "%", "\\" + "Ab1" * 100_000, "a@" * 150_000, "+1" + " (" * 150_000, "%41" * 100_000, "x " * 200_000, "- " * 200_000])
+def test_long_unbroken_texts(text):
+    """Linear in the length: far below a second each, or this takes hours."""
+    pii.base_spans(text)
+    secret_scan.scan(text)
+    assert pii.base_spans("1.2.3." + "0" * 5000) == [("ip", 0, 5006)]
+
+
+def test_addresses_of_four_parts_as_the_plain_pattern_has_them():
+    import random
+    import re
+
+    plain = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+    rng = random.Random(5)
+    for _ in range(3000):
+        text = "".join(rng.choice("01259...  x") for _ in range(rng.randrange(40)))
+        want = [("ip", *m.span()) for m in plain.finditer(text) if all(int(p) <= 255 for p in m[0].split("."))]
+        assert [s for s in pii.base_spans(text) if s[0] == "ip"] == want
+
+
+def test_empty_tables_and_clashing_columns(spark):
+    schema = DOCS + ", kept string, spans string, base string, _leaks string, score string, n_words int"
+    rows = [(1, "good words here", "en", "s", 1, *"abcde", 2), (1, "good words here", "en", "s", 1, *"abcde", 2), (2, None, None, None, None, None, None, None, None, None, None), (3, "", "en", "s", 1, *"abcde", 2)]
+    items = spark.createDataFrame([(1, "good words"), (2, None)], "item_id long, text string")
+    for data, n in (([], 0), (rows, 4)):
+        docs = spark.createDataFrame(data, schema)
+        assert rules.quality_rules(docs).count() == n
+        assert secret_scan.secrets(docs).count() == n
+        assert pii.personal_data(docs).count() == n
+        assert langid.identify(docs, langid.train(docs)).count() == n
+        model = grading.train(docs, spark.createDataFrame([(1, 0), (3, 1)], "doc_id long, grade int"))
+        assert grading.grade_documents(docs, model).count() == n
+        assert decontam.leaks(docs, items).count() == n // 2
+        kept = decontam.clean(docs, items)
+        assert kept.columns == docs.columns and kept.count() == n // 2

@@ -268,6 +268,49 @@ def test_html_words_do_not_condemn_what_holds_the_text(page):
     assert site_tree.extract("<article>" + story + '<div class="comments">So they say, but who knows it?</div></article>') == "All that the page has to say stands here."
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<p title=it's>hello</p><p>world</p>", "hello world"),
+        ("<body><header><h1>Site</h1></header><p>x</p></body>", "x"),
+        ("<header>Site</header><article><header><h1>Title</h1></header><p>x</p></article>", "Title x"),
+        ("<p>go <a href=/x/>there</a> now</p><p>then</p>", "go there now then"),
+        ('<p title="a > b" lang = en>x<br/>y</p>', "x y"),
+        ("<p title = 'a>b'>x</p>", "x"),
+        ("<div>" * 100_000 + "<p>deep</p>" + "</div>" * 100_000 + "<p>end</p>", "deep end"),
+        ("x " * 300_000 + "<p 'odd\" = \"a\">y</p>", "x " * 300_000 + "y"),
+    ],
+)
+def test_html_markup(page, text):
+    assert site_tree.extract(page) == text
+
+
+def test_importances_against_the_definition(spark):
+    """The tree of one small host, its importances counted by hand from the definition."""
+    import math
+
+    pages = ["<body><ul><li>same</li></ul><div><p>own %d</p>%s</div></body>" % (i, "<h2>head</h2>" if i % 2 else "") for i in range(6)]
+    rows = [(i, "http://h.example/x", page) for i, page in enumerate(pages)]
+    stats = site_tree.statistics(spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("'h.example' as host", "html"))
+    got = {r.path: r.importance for r in site_tree.importances(stats).collect()}
+    entropy = 1 / math.log2(6)  # two styles, three pages each, to the base of six pages
+    div_h2 = 1 - math.log(3) / math.log(3)  # a block that stands on all of its three pages
+    own = {"": 0.0, "/body": 0.0, "/body/ul": 0.0, "/body/ul/li": 1 - 1, "/body/div": entropy, "/body/div/p": 1.0, "/body/div/h2": div_h2}
+    pages_of = {"/body/div/h2": 3}
+    for path in own:
+        below = [(q, q[len(path):].count("/")) for q in own if q == path or q.startswith(path + "/")]
+        weight = {q: pages_of.get(q, 6) * site_tree.GAMMA**k for q, k in below}
+        assert got[path] == pytest.approx(sum(weight[q] * own[q] for q, _ in below) / sum(weight.values())), path
+    assert set(got) == set(own)
+
+
+def test_html_of_odd_tables(spark):
+    schema = "page_id long, url string, html string, host string, removed string"
+    assert site_tree.main_texts(spark.createDataFrame([], schema)).count() == 0
+    rows = [(1, "http://h.example/", "<p>x</p>", "mine", "mine")] * 3
+    assert [tuple(r) for r in site_tree.main_texts(spark.createDataFrame(rows, schema)).collect()] == [(1, "http://h.example/", "x", 1)] * 3
+
+
 @pytest.mark.parametrize("text", [r'{"password": "\u0068unter2hunter2xx"}', 'token = "%68unter2hunter2xx"', "pass%77ord = hunter2hunter2xx", r"\u0070assword = %68unter2hunter2xx"])
 def test_secret_escapes_keep_keyword_and_value_together(text):
     start = text.index("t") if text.startswith("token") else text.index("pass") if "pass" in text else 0
