@@ -9,8 +9,9 @@ possessive quantifiers and keeps no record of failures.  It is tried first; if t
 or a rescue is needed, or the bytes are malformed, the traced build runs instead, which follows every character and
 knows the farthest place that was reached.  Both give the same captures where the plain one succeeds.
 
-Memory: failures of rules are kept, successes of at least ``LONG`` characters, and left-recursive results.  All of it
-lives for one document.
+Memory: failures of rules are kept, successes of at least ``LONG`` bytes, and left-recursive results.  A kept success
+is its end and the two ends of its chain of cells, whatever it holds; the cells between are listed when it is used
+again.  All of it lives for one document.
 """
 
 from __future__ import annotations
@@ -57,10 +58,10 @@ class Match:
 
 
 class _State:
-    __slots__ = ("text", "n", "cells", "far", "far_cells", "far_rules", "rules", "column", "memo", "seeds", "growing")
+    __slots__ = ("text", "n", "offsets", "cells", "far", "far_cells", "far_rules", "rules", "column", "memo", "seeds", "growing")
 
-    def __init__(self, text: str):
-        self.text, self.n = text, len(text)
+    def __init__(self, text: str, offsets: list[int] | None):
+        self.text, self.n, self.offsets = text, len(text), offsets
         self.cells = None
         self.far, self.far_cells, self.far_rules = 0, None, None
         self.rules = None
@@ -129,14 +130,14 @@ class Matcher:
         sys.setrecursionlimit(_DEEP)
         try:
             if BAD not in text:
-                state = _State(text)
+                state = _State(text, offsets)
                 try:
                     end = self._plain[self.program.root](state, 0)
                     if end >= 0:
                         return self._result(state.cells, end, True, offsets)
                 except _Rescue:
                     pass
-            state = _State(text)
+            state = _State(text, offsets)
             end = self._traced[self.program.root](state, 0)
             if end >= 0:
                 return self._result(state.cells, end, True, offsets)
@@ -473,7 +474,7 @@ class _Builder:
             if known is not None:
                 if known == -1:
                     return -1
-                state.cells = _replayed(state.cells, known[1])
+                state.cells = _replayed(state.cells, _cells(known[1], known[2]))
                 if known[0] > state.far:
                     state.far, state.far_cells, state.far_rules = known[0], state.cells, state.rules
                 return known[0]
@@ -486,8 +487,8 @@ class _Builder:
                 return j  # it may depend on a result that still grows
             if j < 0:
                 state.memo[key] = -1
-            elif j - i >= long:
-                state.memo[key] = (j, _cells(state.cells, cells))
+            elif (j - i if state.offsets is None else state.offsets[j] - state.offsets[i]) >= long:
+                state.memo[key] = (j, state.cells, cells)
             return j
 
         return run
@@ -503,7 +504,7 @@ class _Builder:
             if known is not None:
                 if known == -1:
                     return -1
-                state.cells = _replayed(state.cells, known[1])
+                state.cells = _replayed(state.cells, _cells(known[1], known[2]))
                 return known[0]
             cells, rules = state.cells, state.rules
             state.seeds[key] = -1
@@ -511,25 +512,22 @@ class _Builder:
             first = mark not in state.growing
             state.growing[mark] = state.growing.get(mark, 0) + 1
             state.rules = (rules, name)
-            best, delta = -1, None
+            best, last = -1, None
             while True:
                 state.cells = cells
                 j = inner(state, i)
                 if j <= best:
                     break
-                best, delta = j, _cells(state.cells, cells)
-                state.seeds[key] = (best, delta)
+                best, last = j, state.cells
+                state.seeds[key] = (best, last, cells)
             state.rules = rules
             del state.seeds[key]
             state.growing[mark] -= 1
             if not state.growing[mark]:
                 del state.growing[mark]
             if first:
-                state.memo[key] = -1 if best < 0 else (best, delta)
-            if best < 0:
-                state.cells = cells
-                return -1
-            state.cells = _replayed(cells, delta)
+                state.memo[key] = -1 if best < 0 else (best, last, cells)
+            state.cells = cells if best < 0 else last
             return best
 
         return run

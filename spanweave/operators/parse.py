@@ -25,6 +25,8 @@ SLICE_BYTES = 1 << 20
 SMALL_BYTES = 16 << 20
 CAPTURES = "array<struct<kind:string,start:long,end:long,depth:int,parent:int>>"
 NOTES = "array<struct<capture_index:int,pos:long,origin:string,rule_stack:array<string>,label:string>>"
+#: Maximal runs of recovery captures, with the diagnostic that came farthest in each; ``told`` is false without one.
+ISLANDS = "array<struct<first:int,last:int,start:long,end:long,rule_stack:array<string>,label:string,told:boolean>>"
 TILES = "array<struct<start:long,end:long,kind:string,capture_idx:int>>"
 PARSED = f"n_bytes long, matched long, complete boolean, captures {CAPTURES}, notes {NOTES}"
 
@@ -32,6 +34,7 @@ _STRINGS = pa.list_(pa.string())
 _ARROW = {
     "captures": pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("depth", pa.int32()), ("parent", pa.int32())]),
     "notes": pa.struct([("capture_index", pa.int32()), ("pos", pa.int64()), ("origin", pa.string()), ("rule_stack", _STRINGS), ("label", pa.string())]),
+    "islands": pa.struct([("first", pa.int32()), ("last", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("rule_stack", _STRINGS), ("label", pa.string()), ("told", pa.bool_())]),
     "tiles": pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string()), ("capture_idx", pa.int32())]),
 }
 
@@ -77,6 +80,28 @@ def tiles(captures: list[tuple[str, int, int]], n_bytes: int) -> list[tuple[int,
     return out
 
 
+def islands(captures: list[tuple[str, int, int]], notes: list) -> list[tuple]:
+    """Runs of consecutive recovery captures each of which starts where the one before ends, in order; of the
+    diagnostics of their captures the farthest, the first of equals."""
+    told: dict[int, list] = {}
+    for x in notes:
+        told.setdefault(x.capture_index, []).append(x)
+    out: list = []
+    best = None
+    for i, (kind, start, end) in enumerate(captures):
+        if kind != "recovery":
+            continue
+        if not (out and out[-1][1] == i - 1 and out[-1][3] == start):
+            out.append([i, i, start, end, None, None, False])
+            best = None
+        out[-1][1], out[-1][3] = i, end
+        for x in told.get(i, ()):
+            if best is None or x.pos > best:
+                best = x.pos
+                out[-1][4:] = x.rule_stack, x.label, True
+    return [tuple(x) for x in out]
+
+
 def _lists(rows: list[list[tuple]], kind: pa.StructType) -> pa.Array:
     sizes = [0]
     for r in rows:
@@ -98,11 +123,13 @@ def _slices(sizes: list[int]) -> Iterator[tuple[int, int]]:
         yield begin, len(sizes)
 
 
-def _columns(docs: list[bytes], found: list[Match], with_tiles: bool) -> list[pa.Array]:
+def _columns(docs: list[bytes], found: list[Match], with_tiles: bool, with_islands: bool) -> list[pa.Array]:
     captures = [[(*c, depth, parent) for c, (depth, parent) in zip(m.captures, nesting(m.captures), strict=True)] for m in found]
     notes = [[(x.capture_index, x.pos, x.origin, x.rule_stack, x.label) for x in m.notes] for m in found]
     out = [pa.array([len(d) for d in docs], pa.int64()), pa.array([m.matched for m in found], pa.int64()), pa.array([m.complete for m in found], pa.bool_())]
     out += [_lists(captures, _ARROW["captures"]), _lists(notes, _ARROW["notes"])]
+    if with_islands:
+        out.append(_lists([islands(m.captures, m.notes) for m in found], _ARROW["islands"]))
     if with_tiles:
         out.append(_lists([tiles(m.captures, len(d)) for m, d in zip(found, docs, strict=True)], _ARROW["tiles"]))
     return out
@@ -119,26 +146,84 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(4 * cores) if size < SMALL_BYTES * cores else df
 
 
-def parse_documents(df: DataFrame, program: Program, payload: str, keep: list[str], with_tiles: bool = False) -> DataFrame:
-    """The columns ``keep`` of ``df``, then those of ``PARSED``, and ``tiles`` if asked for.
-
-    ``payload`` is a string or binary column.  Kept columns may not have the names of the new ones.
-    """
-    data = programs.encode(program)
-    new = StructType.fromDDL(PARSED + (f", tiles {TILES}" if with_tiles else ""))
+def _matched(narrow: DataFrame, keep: list[str], matcher_of, with_tiles: bool, with_islands: bool) -> DataFrame:
+    """``keep`` and the parsed columns of ``narrow`` (keep, _payload, and what ``matcher_of(batch, row)`` looks at)."""
+    new = StructType.fromDDL(PARSED + (f", islands {ISLANDS}" if with_islands else "") + (f", tiles {TILES}" if with_tiles else ""))
     if clash := set(keep) & set(new.fieldNames()):
         raise ValueError(f"{sorted(clash)} would stand twice")
-    narrow = df.select(*keep, F.coalesce(F.col(payload).cast("binary"), F.lit(b"")).alias("_payload"))
-    schema = StructType([*(StructField(f.name, f.dataType) for f in narrow.schema.fields[:-1]), *new.fields])
+    schema = StructType([*(StructField(f.name, f.dataType) for f in narrow.schema.fields[: len(keep)]), *new.fields])
     names = schema.fieldNames()
 
     def run(batches):
-        matcher = _matcher(data)
         for batch in batches:
+            matcher = matcher_of(batch)
             column = batch.column(len(keep))
             for a, b in _slices(pc.binary_length(column).to_pylist()):
                 docs = column.slice(a, b - a).to_pylist()
-                made = _columns(docs, [matcher.match(d) for d in docs], with_tiles)
-                yield pa.RecordBatch.from_arrays([batch.column(i).slice(a, b - a) for i in range(len(keep))] + made, names)
+                found = [matcher(a + i).match(d) for i, d in enumerate(docs)]
+                yield pa.RecordBatch.from_arrays([batch.column(i).slice(a, b - a) for i in range(len(keep))] + _columns(docs, found, with_tiles, with_islands), names)
 
     return spread(narrow).mapInArrow(run, schema)
+
+
+def _payload(payload: str):
+    return F.coalesce(F.col(payload).cast("binary"), F.lit(b"")).alias("_payload")
+
+
+def parse_documents(df: DataFrame, program: Program, payload: str, keep: list[str], with_tiles: bool = False, with_islands: bool = False) -> DataFrame:
+    """The columns ``keep`` of ``df``, then those of ``PARSED``, and ``islands`` and ``tiles`` if asked for.
+
+    ``payload`` is a string or binary column.  Kept columns may not have the names of the new ones.
+    """
+    data = programs.encode(program)
+
+    def matcher_of(batch):
+        found = _matcher(data)
+        return lambda row: found
+
+    return _matched(df.select(*keep, _payload(payload)), keep, matcher_of, with_tiles, with_islands)
+
+
+def parse_by_grammar(df: DataFrame, registry: dict[str, Program], grammar: str, payload: str, keep: list[str], with_tiles: bool = False, with_islands: bool = False) -> DataFrame:
+    """Like ``parse_documents``, each row under the program that its column ``grammar`` names.
+
+    All programs travel with the task, encoded; a worker builds the matchers that it meets.  Rows that name no program
+    of the registry are left out: ``sources.routing`` names one for every row.
+    """
+    data = {name: programs.encode(p) for name, p in registry.items()}
+
+    def matcher_of(batch):
+        names = batch.column(len(keep) + 1).to_pylist()
+        return lambda row: _matcher(data[names[row]])
+
+    narrow = df.where(F.col(grammar).isin(sorted(data))).select(*keep, _payload(payload), F.col(grammar).alias("_grammar"))
+    return _matched(narrow, keep, matcher_of, with_tiles, with_islands)
+
+
+def fold_captures(parsed: DataFrame, keep: list[str], f, returns: str) -> DataFrame:
+    """``keep`` and ``roots``: the array of ``f(kind, start, end, values of the children)`` of the outermost captures.
+
+    ``f`` is called bottom-up, children in their order in the document.  Map-only; a document's captures are folded in
+    one pass without recursion.
+    """
+    kept = parsed.select(*keep, "captures")
+    schema = StructType([*(StructField(x.name, x.dataType) for x in kept.schema.fields[:-1]), *StructType.fromDDL(f"roots array<{returns}>").fields])
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    kind = to_arrow_type(schema.fields[-1].dataType)
+
+    def run(batches):
+        for batch in batches:
+            roots = []
+            for own in batch.column(len(keep)).to_pylist():
+                values: list[list] = [[] for _ in own]
+                top: list = []
+                for i in range(len(own) - 1, -1, -1):  # parents stand before children
+                    c = own[i]
+                    made = f(c["kind"], c["start"], c["end"], values[i][::-1])
+                    values[i] = []
+                    (values[c["parent"]] if c["parent"] >= 0 else top).append(made)
+                roots.append(top[::-1])
+            yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(keep))] + [pa.array(roots, kind)], schema.fieldNames())
+
+    return kept.mapInArrow(run, schema)

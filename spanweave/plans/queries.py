@@ -11,16 +11,16 @@ from pyspark.sql import functions as F
 from ..functions import literals
 from ..grammar import library
 from ..grammar.notation import parse as read_grammar
-from ..operators import edits, grammars, spans
-from ..operators.parse import parse_documents
+from ..operators import edits, grammars, regular, spans
+from ..operators.parse import fold_captures, parse_documents, spread
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _parsed(spark, sf_dir, table, grammar, payload, keep, with_tiles=False) -> DataFrame:
-    return parse_documents(_table(spark, sf_dir, table), library.program(grammar), payload, keep, with_tiles)
+def _parsed(spark, sf_dir, table, grammar, payload, keep, with_tiles=False, with_islands=False) -> DataFrame:
+    return parse_documents(_table(spark, sf_dir, table), library.program(grammar), payload, keep, with_tiles, with_islands)
 
 
 def _events(spark, sf_dir, keep, with_tiles=False) -> DataFrame:
@@ -36,8 +36,8 @@ def captures_by_kind(spark, sf_dir):
 
 
 def capture_number_sum(spark, sf_dir):
-    found = spans.captures(_events(spark, sf_dir, ["event_type", "props"]), ["event_type", "props"]).where("kind = 'number'")
-    return found.groupBy("event_type").agg(F.sum(spans.literal("props", "start", "end").cast("long")).alias("total"))
+    found = spans.captures(_events(spark, sf_dir, ["event_type", "props"]), ["event_type"], ["number"], "props")
+    return found.groupBy("event_type").agg(F.sum(F.col("literal").cast("long")).alias("total"))
 
 
 def segments_json(spark, sf_dir):
@@ -56,9 +56,7 @@ def tiling_check(spark, sf_dir):
 
 
 def literal_slice(spark, sf_dir):
-    keep = ["event_id", "props"]
-    rows = spans.captures(_events(spark, sf_dir, keep), keep).where("kind in ('property', 'number')")
-    return rows.select("event_id", "kind", spans.literal("props", "start", "end").alias("literal"))
+    return spans.captures(_events(spark, sf_dir, ["event_id", "props"]), ["event_id"], ["property", "number"], "props").select("event_id", "kind", "literal")
 
 
 def truncate_literal(spark, sf_dir):
@@ -78,32 +76,34 @@ def kind_covering_byte(spark, sf_dir):
     return parsed.select("event_id", *(spans.kind_at(parsed, i).alias(f"at_{i}") for i in (0, 1, 4, 5, 6)))
 
 
+def _found(spark, sf_dir, table, grammar, payload, kind, keep) -> DataFrame:
+    return regular.found(_table(spark, sf_dir, table), library.program(grammar), payload, kind, keep)
+
+
+def _n_found():
+    return F.size("literals").cast("long")
+
+
 def word_tokens(spark, sf_dir):
-    parsed = _parsed(spark, sf_dir, "documents", "lines", "text", ["doc_id"])
-    return parsed.select("doc_id", F.size(F.filter("captures", lambda c: c.kind == "word")).cast("long").alias("n_words"))
+    return _found(spark, sf_dir, "documents", "lines", "text", "word", ["doc_id"]).select("doc_id", _n_found().alias("n_words"))
 
 
 def line_tokens(spark, sf_dir):
-    parsed = _parsed(spark, sf_dir, "documents", "lines", "text", ["doc_id"])
-    return parsed.select("doc_id", F.size(F.filter("captures", lambda c: c.kind == "line")).cast("long").alias("n_lines"))
+    return _found(spark, sf_dir, "documents", "lines", "text", "line", ["doc_id"]).select("doc_id", _n_found().alias("n_lines"))
 
 
 def turn_tokens(spark, sf_dir):
-    parsed = _parsed(spark, sf_dir, "conversations", "lines", "text", ["role"])
-    counted = parsed.select("role", F.size(F.filter("captures", lambda c: c.kind == "word")).cast("long").alias("_n"))
+    counted = _found(spark, sf_dir, "conversations", "lines", "text", "word", ["role"]).select("role", _n_found().alias("_n"))
     return counted.groupBy("role").agg(F.sum("_n").alias("n_words"), F.count("*").alias("n_turns"))
 
 
 def tag_tokens(spark, sf_dir):
-    keep = ["html"]
-    rows = spans.captures(_parsed(spark, sf_dir, "pages", "tags", "html", keep), keep).where("kind = 'name'")
-    named = rows.select(F.lower(spans.literal("html", "start", "end")).alias("tag"))
-    return named.groupBy("tag").agg(F.count("*").alias("n"))
+    names = _found(spark, sf_dir, "pages", "tags", "html", "name", []).select(F.explode("literals").alias("_name"))
+    return names.groupBy(F.lower("_name").alias("tag")).agg(F.count("*").alias("n"))
 
 
 def comment_spans(spark, sf_dir):
-    parsed = _parsed(spark, sf_dir, "pages", "tags", "html", ["page_id"])
-    return parsed.select("page_id", F.size(F.filter("captures", lambda c: c.kind == "comment")).cast("long").alias("n_comments"))
+    return _found(spark, sf_dir, "pages", "tags", "html", "comment", ["page_id"]).select("page_id", _n_found().alias("n_comments"))
 
 
 def partial_matches(spark, sf_dir):
@@ -116,40 +116,56 @@ def depth_hist(spark, sf_dir):
 
 
 def parent_edges(spark, sf_dir):
-    rows = spans.captures(_parsed(spark, sf_dir, "documents", "lines", "text", ["doc_id"]), ["doc_id"])
-    return spans.edges(rows, ["doc_id"]).groupBy("parent_kind", "kind").agg(F.count("*").alias("n"))
+    return spans.edges(_parsed(spark, sf_dir, "documents", "lines", "text", []), []).groupBy("parent_kind", "kind").agg(F.count("*").alias("n"))
 
 
 def fold_count(spark, sf_dir):
-    rows = spans.captures(_parsed(spark, sf_dir, "documents", "lines", "text", ["doc_id"]), ["doc_id"]).where("kind = 'word'")
-    per_line = rows.groupBy("doc_id", "parent").agg(F.count("*").alias("_n"))
-    return per_line.groupBy("doc_id").agg(F.max("_n").alias("most_words"), F.sum("_n").alias("n_words"))
+    words = regular.nested(library.program("lines"), "text", "line", "word")
+    docs = spread(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    sizes = docs.select("doc_id", F.transform(words, lambda line: F.size(line).cast("long")).alias("_sizes"))
+    found = sizes.select("doc_id", F.array_max("_sizes").alias("most_words"), F.aggregate("_sizes", F.lit(0).cast("long"), lambda a, x: a + x).alias("n_words"))
+    return found.where("n_words > 0")
 
 
 def recovery_spans(spark, sf_dir):
-    rows = spans.captures(_parsed(spark, sf_dir, "documents", "words", "text", ["doc_id"]), ["doc_id"])
-    found = spans.recovery_spans(rows, ["doc_id"])
-    return found.groupBy("doc_id").agg(F.count("*").alias("n_spans"), F.sum(F.col("end") - F.col("start")).alias("n_bytes"), F.sum("n_captures").alias("n_captures"))
+    parsed = _parsed(spark, sf_dir, "documents", "words", "text", ["doc_id"], with_islands=True)
+    total = lambda f: F.aggregate("islands", F.lit(0).cast("long"), lambda a, i: a + f(i))
+    found = parsed.where(F.size("islands") > 0)
+    return found.select("doc_id", F.size("islands").cast("long").alias("n_spans"), total(lambda i: i.end - i.start).alias("n_bytes"), total(lambda i: i["last"] - i["first"] + 1).alias("n_captures"))
+
+
+def recovery_rows(spark, sf_dir):
+    """Every recovery with its span and the diagnostic of that."""
+    parsed = _parsed(spark, sf_dir, "documents", "words", "text", ["doc_id"], with_islands=True)
+    return spans.recoveries(parsed, ["doc_id"]).select("doc_id", "start", "end", F.element_at("rule_stack", -1).alias("leaf"), "label")
 
 
 def recovery_clusters(spark, sf_dir):
-    parsed = _parsed(spark, sf_dir, "documents", "words", "text", ["doc_id"])
-    found = spans.clusters(spans.captures(parsed, ["doc_id"]), spans.notes(parsed, ["doc_id"]), ["doc_id"])
-    return found.select("leaf", "label", "n")
+    parsed = _parsed(spark, sf_dir, "documents", "words", "text", [], with_islands=True)
+    return spans.ordered_clusters(spans.clusters(parsed)).select("leaf", "label", "n")
 
 
 def orphan_checks(spark, sf_dir):
-    parsed = _parsed(spark, sf_dir, "documents", "words", "text", ["doc_id"])
-    rows, told = spans.captures(parsed, ["doc_id"]), spans.notes(parsed, ["doc_id"])
-    made = spans.orphan_captures(rows, told, ["doc_id"]).select(F.lit("capture").alias("orphan"))
-    return made.unionAll(spans.orphan_notes(rows, told, ["doc_id"]).select(F.lit("note").alias("orphan"))).groupBy("orphan").agg(F.count("*").alias("n"))
+    """Orphans by kind: there are none, unless rows are made to have some, as here every document with an odd id."""
+    parsed = _parsed(spark, sf_dir, "documents", "words", "text", ["doc_id"], with_islands=True)
+    odd = F.col("doc_id") % 2 == 1
+    parsed = parsed.withColumn("islands", F.when(odd, F.transform("islands", lambda i: i.withField("told", F.lit(False)))).otherwise(F.col("islands")))
+    captures_ = F.aggregate(F.filter("islands", lambda i: ~i.told), F.lit(0).cast("long"), lambda a, i: a + i["last"] - i["first"] + 1)
+    orphans = F.filter("notes", lambda n: ~F.coalesce(F.get("captures", n.capture_index).kind == "recovery", F.lit(False)))
+    return parsed.groupBy((F.col("doc_id") % 2).alias("odd")).agg(F.sum(captures_).alias("captures"), F.sum(F.size(orphans).cast("long")).alias("notes"))
+
+
+def capture_heights(spark, sf_dir):
+    """The fold that gives each outermost capture the height of its tree."""
+    parsed = _events(spark, sf_dir, ["event_id"])
+    return fold_captures(parsed, ["event_id"], lambda kind, start, end, below: 1 + max(below, default=0), "long").select("event_id", F.col("roots").alias("heights"))
 
 
 def captures_by_lang(spark, sf_dir):
-    parsed = _parsed(spark, sf_dir, "documents", "lines", "text", ["doc_id", "lang"])
-    counted = parsed.select("doc_id", "lang", F.size(F.filter("captures", lambda c: c.kind == "word")).cast("long").alias("_n"))
-    joined = counted.join(_table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
-    return joined.groupBy("lang", "quality").agg(F.count("*").alias("n_docs"), F.sum("_n").alias("n_words"))
+    labels = _table(spark, sf_dir, "labels").select("doc_id", "quality")
+    docs = _table(spark, sf_dir, "documents").join(labels.select("doc_id"), "doc_id", "left_semi")  # others needn't be read closely
+    counted = regular.found(docs, library.program("lines"), "text", "word", ["doc_id", "lang"]).select("doc_id", "lang", _n_found().alias("_n"))
+    return counted.join(labels, "doc_id").groupBy("lang", "quality").agg(F.count("*").alias("n_docs"), F.sum("_n").alias("n_words"))
 
 
 def edit_replay(spark, sf_dir):
@@ -159,7 +175,7 @@ def edit_replay(spark, sf_dir):
     first = events.select("event_id", F.lit(1).alias("seq"), F.lit(6).cast("long").alias("start"), (size - 1).alias("old_end"), F.concat(F.lit("["), F.expr("substring(props, 7, length(props) - 7)"), F.lit(", 7]")).alias("replacement"))
     second = events.select("event_id", F.lit(2).alias("seq"), F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("old_end"), F.lit(" ").alias("replacement"))
     after = edits.apply_edits(events.select("event_id", "props"), first.unionAll(second), "event_id", "props")
-    parsed = parse_documents(after, library.program("json"), "props", ["event_id"])
+    parsed = parse_documents(after.where("error is null"), library.program("json"), "props", ["event_id"])
     return parsed.select("event_id", "n_bytes", "complete", F.size("captures").cast("long").alias("n_captures"))
 
 
@@ -188,7 +204,7 @@ QUERIES = {
     for f in (
         captures_json, captures_by_kind, capture_number_sum, segments_json, gap_bytes, tiling_check, literal_slice,
         truncate_literal, quote_literal, kind_colours, kind_covering_byte, word_tokens, line_tokens, turn_tokens, tag_tokens, comment_spans, partial_matches,
-        depth_hist, parent_edges, fold_count, recovery_spans, recovery_clusters, orphan_checks, captures_by_lang,
+        depth_hist, parent_edges, fold_count, recovery_spans, recovery_rows, recovery_clusters, orphan_checks, capture_heights, captures_by_lang,
         edit_replay, rule_reference_counts, grammar_stats, follow_sets, lint_findings,
     )
 }
@@ -254,7 +270,14 @@ ORACLE_SQL: dict[str, str] = {
         FROM documents WHERE {_ODD} <> ''""",
     "recovery_clusters": f"""
         SELECT 'text' AS leaf, 'recovery' AS label, CAST(sum(length({_ODD})) AS BIGINT) AS n FROM documents HAVING sum(length({_ODD})) > 0""",
-    "orphan_checks": "SELECT 'capture' AS orphan, CAST(0 AS BIGINT) AS n WHERE false",
+    "orphan_checks": f"""
+        SELECT doc_id % 2 AS odd, CAST(sum(CASE WHEN doc_id % 2 = 1 THEN length({_ODD}) ELSE 0 END) AS BIGINT) AS captures, CAST(0 AS BIGINT) AS notes FROM documents GROUP BY doc_id % 2""",
+    "recovery_rows": f"""
+        WITH c AS (SELECT doc_id, text, unnest(range(1, length(text) + 1)) AS i FROM documents),
+        b AS (SELECT doc_id, substr(text, i, 1) AS c, sum(strlen(substr(text, i, 1))) OVER (PARTITION BY doc_id ORDER BY i) AS e FROM c)
+        SELECT doc_id, CAST(e - strlen(c) AS BIGINT) AS "start", CAST(e AS BIGINT) AS "end", 'text' AS leaf, 'recovery' AS label
+        FROM b WHERE NOT regexp_matches(c, '[A-Za-z \\t\\n\\r]')""",
+    "capture_heights": "SELECT event_id, [1, 1, 1, 1, 1]::BIGINT[] AS heights FROM events",
     "captures_by_lang": f"""
         SELECT lang, quality, count(*) AS n_docs, CAST(sum({_WORDS}) AS BIGINT) AS n_words
         FROM documents JOIN labels USING (doc_id) GROUP BY lang, quality""",
