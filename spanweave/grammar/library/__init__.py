@@ -7,7 +7,7 @@ from importlib.resources import files
 
 from ..program import Program, compiled
 
-NAMES = ("json", "lines", "tags", "words")
+NAMES = ("css", "json", "lines", "sql", "tags", "toml", "words")
 
 
 def source(name: str) -> str:

@@ -79,13 +79,25 @@ def _class(ranges) -> str:
 class Matcher:
     def __init__(self, program: Program, long: int = LONG):
         self.program, self.long = program, long
+        self.irregular = self._irregular()
         self.regular: dict[str, str | None] = {}
         self._plain = self._build(False)
         self._traced = self._build(True)
 
     # regular patterns
 
-    def _regex(self, p: Pattern, inside: tuple[str, ...] = ()) -> str | None:
+    def _irregular(self) -> set[str]:
+        """Rules that are recursive, capture, rescue or look at columns, or call one that does."""
+        rules = self.program.rules
+        calls = {n: {x.name for x in p.walk() if isinstance(x, Ref)} for n, p in rules.items()}
+        out = {n for n, p in rules.items() if n in self.program.left_recursive or any(isinstance(x, (Capture, Catch, Column)) for x in p.walk())}
+        # What is left after taking away, again and again, rules that call only rules taken away, are cycles and their callers.
+        free: set[str] = set()
+        while more := {n for n in rules if n not in free and n not in out and calls[n] <= free}:
+            free |= more
+        return set(rules) - free
+
+    def _regex(self, p: Pattern) -> str | None:
         """A regular expression that matches as ``p`` does; None where there is none of a fair size."""
         match p:
             case Literal(text):
@@ -95,21 +107,18 @@ class Matcher:
             case Any():
                 return "(?s:.)"
             case Ref(name):
-                if name in inside or name in self.program.left_recursive:
+                if name in self.irregular:
                     return None
-                if name not in self.regular or self.regular[name] is None and inside:
-                    found = self._regex(self.program.rules[name], (*inside, name))
-                    if found is not None or not inside:
-                        self.regular[name] = found
-                    return found
+                if name not in self.regular:
+                    self.regular[name] = self._regex(self.program.rules[name])
                 return self.regular[name]
             case Seq(items) | Choice(items):
-                found = [self._regex(x, inside) for x in items]
-                if any(f is None for f in found) or sum(map(len, found)) > _FUSED:
+                found = [self._regex(x) for x in items]
+                if None in found or sum(map(len, found)) > _FUSED:
                     return None
                 return "".join(found) if isinstance(p, Seq) else f"(?>{'|'.join(found)})"
             case Star(body) | Plus(body) | Opt(body) | Not(body) | And(body):
-                found = self._regex(body, inside)
+                found = self._regex(body)
                 if found is None:
                     return None
                 return {Star: "(?>{})*+", Plus: "(?>{})++", Opt: "(?>{})?+", Not: "(?!{})", And: "(?={})"}[type(p)].format(found)
