@@ -37,6 +37,8 @@ KNOWN_BYTES = 8 << 20
 #: Bytes of text that are encoded at once.
 SLICE = 2 << 20
 END_ID = 1
+#: Words that are encoded in one text.
+JOINED = 2048
 
 
 _LETTER = np.zeros(256, bool)
@@ -69,6 +71,12 @@ class WordEncoder:
         rules = json.loads(spec)
         self.special = [t["content"].encode() for t in rules.get("added_tokens", [])]
         self.apart = '"Lowercase"' in json.dumps(rules.get("normalizer")) and "[\\\\p{L}]+|" in json.dumps(rules.get("pre_tokenizer"))
+        # Tokens that end a word, where the model marks them: words of letters alone can then be encoded in one text.
+        suffix = rules["model"].get("end_of_word_suffix") if self.apart else None
+        self.closing = None
+        if suffix:
+            self.closing = np.zeros(self.tokenizer.get_vocab_size(), bool)
+            self.closing[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(suffix)]] = True
         self.clear()
 
     def clear(self) -> None:
@@ -78,18 +86,48 @@ class WordEncoder:
         self.bytes, self.starts, self.ends = np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def learn(self, hashes: np.ndarray, words: list[bytes]) -> None:
-        got = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
-        size = np.fromiter(map(len, got), np.int64, len(got))
-        flat = np.fromiter(chain.from_iterable(got), np.uint32, int(size.sum()))
+        begin, size, flat = self.encoded([w.decode() for w in words])
         order = np.argsort(hashes, kind="stable")
         at = np.searchsorted(self.known, hashes[order])
         self.known, self.slot = np.insert(self.known, at, hashes[order]), np.insert(self.slot, at, len(self.size) + order)
-        self.begin = np.concatenate([self.begin, len(self.ids) + np.cumsum(size) - size])
+        self.begin = np.concatenate([self.begin, len(self.ids) + begin])
         self.size, self.ids = np.concatenate([self.size, size]), np.concatenate([self.ids, flat])
         ends = len(self.bytes) + np.cumsum([len(w) for w in words])
         self.starts = np.concatenate([self.starts, [len(self.bytes)], ends[:-1]]) if len(words) else self.starts
         self.ends, self.bytes = np.concatenate([self.ends, ends]), np.concatenate([self.bytes, np.frombuffer(b"".join(words), np.uint8)])
 
+    def encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where the ids of each word begin, how many they are, and the ids.
+
+        Words of small letters are one pre-token each, so that the ids of many in one text are told apart by the ids
+        that end a word; if these are not as many as the words, and for all other words, each is encoded by itself.
+        """
+        size = np.zeros(len(words), np.int64)
+        order: list[int] = []
+        flats: list[np.ndarray] = []
+        alone: list[int] = list(range(len(words)))
+        if self.closing is not None:
+            letters = [i for i, w in enumerate(words) if w.isalpha() and w.islower()]
+            left = set(alone).difference(letters)
+            for k in range(0, len(letters), JOINED):
+                part = letters[k : k + JOINED]
+                flat = np.array(self.tokenizer.encode_batch_fast([" ".join([words[i] for i in part])], add_special_tokens=False)[0].ids, np.uint32)
+                ends = np.flatnonzero(self.closing[flat])
+                if len(ends) != len(part) or ends[-1] != len(flat) - 1:
+                    left.update(part)
+                    continue
+                size[part] = np.diff(ends, prepend=-1)
+                order += part
+                flats.append(flat)
+            alone = sorted(left)
+        got = [e.ids for e in self.tokenizer.encode_batch_fast([words[i] for i in alone], add_special_tokens=False)]
+        size[alone] = [len(x) for x in got]
+        order += alone
+        flats.append(np.fromiter(chain.from_iterable(got), np.uint32, int(size[alone].sum())))
+        begin = np.empty(len(words), np.int64)
+        begin[order] = np.cumsum(size[order]) - size[order]
+        return begin, size, np.concatenate(flats)
+
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """Slots of words by their hashes, -1 for new ones."""
         if not len(self.known):
