@@ -12,7 +12,8 @@ from ..functions import literals
 from ..grammar import library
 from ..grammar.notation import parse as read_grammar
 from ..operators import edits, grammars, regular, spans
-from ..operators.parse import fold_captures, parse_documents, spread
+from ..operators.parse import fold_captures, parse_by_grammar, parse_documents, spread
+from ..sources import routing, sinks
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +32,26 @@ def captures_json(spark, sf_dir):
     return spans.captures(_events(spark, sf_dir, ["event_id"]), ["event_id"]).select("event_id", "capture_idx", "kind", "start", "end")
 
 
+def capture_lines(spark, sf_dir):
+    """The JSON line of every capture."""
+    return sinks.capture_lines(_events(spark, sf_dir, ["event_id", "props"]), ["event_id"], "props").select("event_id", "value")
+
+
+#: (path, text) of documents in several languages; every other one is broken.
+_MIXED = (("q.sql", "SELECT a, b FROM t WHERE k = #"), ("q.sql", "SELECT a, b FROM t WHERE k = "), ("c.toml", "key = #"), ("c.toml", "key = # x"), ("s.css", "a { top: #px }"), ("s.css", "a { top: #px"), ("d.json", '{"k": #}'), ("d", '{"k": #'))
+
+
+def routed_documents(spark, sf_dir):
+    """A document an order, in a language by its path: how many are matched as a whole, and their numbers."""
+    which = (F.col("o_orderkey") % len(_MIXED)).cast("int")
+    pick = lambda i: F.get(F.array(*[F.lit(x[i]) for x in _MIXED]), which)
+    docs = _table(spark, sf_dir, "orders").select(pick(0).alias("path"), F.replace(pick(1), F.lit("#"), F.col("o_orderkey").cast("string")).alias("text"))
+    routed = docs.withColumn("grammar", routing.grammar_of(F.col("path")))
+    parsed = parse_by_grammar(routed, {n: library.program(n) for n in ("css", "json", "sql", "toml")}, "grammar", "text", ["grammar"])
+    numbers = F.size(F.filter("captures", lambda c: c.kind == "number")).cast("long")
+    return parsed.groupBy("grammar", "complete").agg(F.count("*").alias("n"), F.sum(numbers).alias("n_numbers"))
+
+
 def captures_by_kind(spark, sf_dir):
     return spans.captures(_events(spark, sf_dir, []), []).groupBy("kind").agg(F.count("*").alias("n"))
 
@@ -202,7 +223,7 @@ def lint_findings(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        captures_json, captures_by_kind, capture_number_sum, segments_json, gap_bytes, tiling_check, literal_slice,
+        captures_json, capture_lines, routed_documents, captures_by_kind, capture_number_sum, segments_json, gap_bytes, tiling_check, literal_slice,
         truncate_literal, quote_literal, kind_colours, kind_covering_byte, word_tokens, line_tokens, turn_tokens, tag_tokens, comment_spans, partial_matches,
         depth_hist, parent_edges, fold_count, recovery_spans, recovery_rows, recovery_clusters, orphan_checks, capture_heights, captures_by_lang,
         edit_replay, rule_reference_counts, grammar_stats, follow_sets, lint_findings,
@@ -223,6 +244,14 @@ ORACLE_SQL: dict[str, str] = {
             {'i': 0, 'k': 'punctuation', 's': 0, 'e': 1}, {'i': 1, 'k': 'property', 's': 1, 'e': 4},
             {'i': 2, 'k': 'punctuation', 's': 4, 'e': 5}, {'i': 3, 'k': 'number', 's': 6, 'e': strlen(props) - 1},
             {'i': 4, 'k': 'punctuation', 's': strlen(props) - 1, 'e': strlen(props)}]) AS c FROM events)""",
+    "capture_lines": """
+        SELECT event_id, '{"start":' || s || ',"end":' || e || ',"kind":"' || k || '","depth":0,"literal":' || CAST(to_json(substr(props, s + 1, e - s)) AS VARCHAR) || '}' AS value
+        FROM (SELECT event_id, props, c.k AS k, c.s AS s, c.e AS e FROM (SELECT event_id, props, unnest([
+            {'k': 'punctuation', 's': 0, 'e': 1}, {'k': 'property', 's': 1, 'e': 4}, {'k': 'punctuation', 's': 4, 'e': 5},
+            {'k': 'number', 's': 6, 'e': strlen(props) - 1}, {'k': 'punctuation', 's': strlen(props) - 1, 'e': strlen(props)}]) AS c FROM events))""",
+    "routed_documents": """
+        SELECT ['sql', 'toml', 'css', 'json'][(o_orderkey % 8) // 2 + 1] AS grammar, o_orderkey % 2 = 0 AS complete, count(*) AS n,
+            CAST(sum(CASE WHEN o_orderkey % 8 = 1 THEN 0 ELSE 1 END) AS BIGINT) AS n_numbers FROM orders GROUP BY ALL""",
     "captures_by_kind": """
         SELECT kind, CAST(n AS BIGINT) AS n FROM (
             SELECT 'punctuation' AS kind, 3 * count(*) AS n FROM events UNION ALL SELECT 'property', count(*) FROM events

@@ -1 +1 @@
-
+"""Documents that change while they are watched."""

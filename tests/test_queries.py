@@ -6,7 +6,7 @@ import pytest
 from spanweave.plans.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
-TABLES = "events documents pages labels conversations".split()
+TABLES = "orders events documents pages labels conversations".split()
 
 
 @pytest.fixture(scope="module")
