@@ -173,7 +173,8 @@ def orphan_checks(spark, sf_dir):
     parsed = parsed.withColumn("islands", F.when(odd, F.transform("islands", lambda i: i.withField("told", F.lit(False)))).otherwise(F.col("islands")))
     captures_ = F.aggregate(F.filter("islands", lambda i: ~i.told), F.lit(0).cast("long"), lambda a, i: a + i["last"] - i["first"] + 1)
     orphans = F.filter("notes", lambda n: ~F.coalesce(F.get("captures", n.capture_index).kind == "recovery", F.lit(False)))
-    return parsed.groupBy((F.col("doc_id") % 2).alias("odd")).agg(F.sum(captures_).alias("captures"), F.sum(F.size(orphans).cast("long")).alias("notes"))
+    counted = parsed.select((F.col("doc_id") % 2).alias("odd"), captures_.alias("_c"), F.size(orphans).cast("long").alias("_n"))
+    return counted.groupBy("odd").agg(F.sum("_c").alias("captures"), F.sum("_n").alias("notes"))
 
 
 def capture_heights(spark, sf_dir):
