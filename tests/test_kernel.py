@@ -89,17 +89,18 @@ def test_null_payload_and_types(spark):
 
 def test_islands_and_clusters(spark):
     df = spark.createDataFrame([(1, "ab 12! c"), (2, "é-"), (3, "x")], "id long, t string")
-    parsed = parse_documents(df, library.program("words"), "t", ["id"])
-    caps, told = spans.captures(parsed, ["id"]), spans.notes(parsed, ["id"])
-    assert sorted(tuple(r) for r in spans.recovery_spans(caps, ["id"]).select("id", "start", "end", "n_captures").collect()) == [(1, 3, 6, 3), (2, 0, 3, 2)]
-    assert [(r.leaf, r.n) for r in spans.clusters(caps, told, ["id"]).collect()] == [("text", 5)]
-    assert [(r.leaf, r.n) for r in spans.clusters(caps, told, ["id"], {"text"}).collect()] == [("<empty>", 5)]
-    assert spans.orphan_captures(caps, told.where("false"), ["id"]).count() == 5
-    assert spans.orphan_notes(caps.where("false"), told, ["id"]).count() == 5
+    parsed = parse_documents(df, library.program("words"), "t", ["id"], with_islands=True)
+    assert sorted(tuple(r) for r in spans.recovery_spans(parsed, ["id"]).select("id", "start", "end", "n_captures").collect()) == [(1, 3, 6, 3), (2, 0, 3, 2)]
+    assert [(r.leaf, r.n) for r in spans.clusters(parsed).collect()] == [("text", 5)]
+    assert [(r.leaf, r.n) for r in spans.clusters(parsed, {"text"}).collect()] == [("<empty>", 5)]
+    untold = parsed.withColumn("islands", F.transform("islands", lambda i: i.withField("told", F.lit(False))))
+    assert spans.orphan_captures(untold, ["id"]).count() == 5
+    assert spans.orphan_notes(parsed.withColumn("captures", F.filter("captures", lambda c: F.lit(False))), ["id"]).count() == 5
 
 
 def test_edits(spark):
+    """Ranges outside are refused now, where they were cut to the document before."""
     docs = spark.createDataFrame([(1, "hello"), (2, None), (3, "same")], "id long, t string")
-    todo = spark.createDataFrame([(1, 2, 0, 1, "J"), (1, 1, 5, 99, " there"), (2, 1, 4, 9, "new"), (2, 2, 1, 2, None)], "id long, seq int, start long, old_end long, replacement string")
+    todo = spark.createDataFrame([(1, 2, 0, 1, "J"), (1, 1, 5, 5, " there"), (2, 1, None, None, "new"), (2, 2, 1, 2, None)], "id long, seq int, start long, old_end long, replacement string")
     got = {r.id: r.t for r in edits.apply_edits(docs, todo, "id", "t").select("id", F.decode("t", "UTF-8").alias("t")).collect()}
     assert got == {1: "Jello there", 2: "nw", 3: "same"}
