@@ -284,17 +284,18 @@ class _Builder:
     def seq(self, p: Seq):
         items: list = []
         run_: list[Pattern] = []
-        # neighbours that can be fused are fused together
+        # neighbours that can be fused are fused together, as far as the expression keeps a fair size
         for x in p.items:
-            if not self.traced and self.matcher._regex(x) is not None:
-                run_.append(x)
-                continue
-            if run_:
-                items.append(self(Seq(tuple(run_))))
+            plain = not self.traced and self.matcher._regex(x) is not None
+            if run_ and not (plain and self.matcher._regex(Seq((*run_, x))) is not None):
+                items.append(self.run(run_))
                 run_ = []
-            items.append(self(x))
+            if plain:
+                run_.append(x)
+            else:
+                items.append(self(x))
         if run_:
-            items.append(self(Seq(tuple(run_))))
+            items.append(self.run(run_))
         steps = tuple(items)
 
         def run(state, i):
@@ -306,6 +307,9 @@ class _Builder:
 
         return run
 
+    def run(self, parts: list[Pattern]):
+        return self(parts[0] if len(parts) == 1 else Seq(tuple(parts)))
+
     def choice(self, p: Choice):
         ways = tuple(self(x) for x in p.items)
 

@@ -37,6 +37,12 @@ def test_recovery_and_malformed_bytes():
     assert m.complete and m.captures == [("recovery", 1, 3)]
 
 
+def test_sequences_too_long_for_one_expression():
+    letters = "[" + "".join(f"\\u{{{x:x}}}" for x in range(0x100, 0x1F4, 2)) + "]"
+    m = match(f"text = @x(a) {{ a = {letters} {letters} {letters} 'z' }}", "ĀĂĀz".encode())
+    assert m.complete and m.captures == [("x", 0, 7)]
+
+
 def test_indentation():
     source = "file = %root(block) { block = line (\\R %align line)*  line = @line([a-z]+) }"
     assert match(source, b"ab\ncd").complete
