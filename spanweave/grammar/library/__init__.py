@@ -7,7 +7,7 @@ from importlib.resources import files
 
 from ..program import Program, compiled
 
-NAMES = ("css", "json", "lines", "sql", "tags", "toml", "words")
+NAMES = ("c", "css", "go", "javascript", "json", "lines", "rust", "sql", "starlark", "tags", "toml", "words", "yaml")
 
 
 def source(name: str) -> str:

@@ -41,13 +41,33 @@ def capture_lines(spark, sf_dir):
 _MIXED = (("q.sql", "SELECT a, b FROM t WHERE k = #"), ("q.sql", "SELECT a, b FROM t WHERE k = "), ("c.toml", "key = #"), ("c.toml", "key = # x"), ("s.css", "a { top: #px }"), ("s.css", "a { top: #px"), ("d.json", '{"k": #}'), ("d", '{"k": #'))
 
 
+#: Likewise for programming languages and YAML.
+_CODE = (
+    ("f.c", "int f(int k) { return k + #; }"), ("f.c", "int f(int k) { return k + # }"),
+    ("f.go", "package p\nfunc f(k int) int {\n\treturn k + #\n}\n"), ("f.go", "package p\nfunc f(k int) int {\n\treturn k + # k\n}\n"),
+    ("f.mjs", "const f = (k) => k + #\nf(k)"), ("f.mjs", "const f = (k) => k + # f(k)"),
+    ("f.rs", "fn f(k: u32) -> u32 { k + # }"), ("f.rs", "fn f(k: u32) -> u32 { k + # k }"),
+    ("f.bzl", "def f(k):\n    return k + #\n"), ("f.bzl", "def f(k):\n    return k + #\n  pass\n"),
+    ("f.yml", "f:\n  k: #\n"), ("f.yml", "f:\n  k: #\n g: k\n"),
+)
+
+
 def routed_documents(spark, sf_dir):
     """A document an order, in a language by its path: how many are matched as a whole, and their numbers."""
-    which = (F.col("o_orderkey") % len(_MIXED)).cast("int")
-    pick = lambda i: F.get(F.array(*[F.lit(x[i]) for x in _MIXED]), which)
+    return _routed(spark, sf_dir, _MIXED, ("css", "json", "sql", "toml"))
+
+
+def routed_code(spark, sf_dir):
+    """The same for programming languages and YAML."""
+    return _routed(spark, sf_dir, _CODE, ("c", "go", "javascript", "rust", "starlark", "yaml"))
+
+
+def _routed(spark, sf_dir, texts, names):
+    which = (F.col("o_orderkey") % len(texts)).cast("int")
+    pick = lambda i: F.get(F.array(*[F.lit(x[i]) for x in texts]), which)
     docs = _table(spark, sf_dir, "orders").select(pick(0).alias("path"), F.replace(pick(1), F.lit("#"), F.col("o_orderkey").cast("string")).alias("text"))
     routed = docs.withColumn("grammar", routing.grammar_of(F.col("path")))
-    parsed = parse_by_grammar(routed, {n: library.program(n) for n in ("css", "json", "sql", "toml")}, "grammar", "text", ["grammar"])
+    parsed = parse_by_grammar(routed, {n: library.program(n) for n in names}, "grammar", "text", ["grammar"])
     numbers = F.size(F.filter("captures", lambda c: c.kind == "number")).cast("long")
     return parsed.groupBy("grammar", "complete").agg(F.count("*").alias("n"), F.sum(numbers).alias("n_numbers"))
 
@@ -224,7 +244,7 @@ def lint_findings(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        captures_json, capture_lines, routed_documents, captures_by_kind, capture_number_sum, segments_json, gap_bytes, tiling_check, literal_slice,
+        captures_json, capture_lines, routed_documents, routed_code, captures_by_kind, capture_number_sum, segments_json, gap_bytes, tiling_check, literal_slice,
         truncate_literal, quote_literal, kind_colours, kind_covering_byte, word_tokens, line_tokens, turn_tokens, tag_tokens, comment_spans, partial_matches,
         depth_hist, parent_edges, fold_count, recovery_spans, recovery_rows, recovery_clusters, orphan_checks, capture_heights, captures_by_lang,
         edit_replay, rule_reference_counts, grammar_stats, follow_sets, lint_findings,
@@ -253,6 +273,9 @@ ORACLE_SQL: dict[str, str] = {
     "routed_documents": """
         SELECT ['sql', 'toml', 'css', 'json'][(o_orderkey % 8) // 2 + 1] AS grammar, o_orderkey % 2 = 0 AS complete, count(*) AS n,
             CAST(sum(CASE WHEN o_orderkey % 8 = 1 THEN 0 ELSE 1 END) AS BIGINT) AS n_numbers FROM orders GROUP BY ALL""",
+    "routed_code": """
+        SELECT ['c', 'go', 'javascript', 'rust', 'starlark', 'yaml'][(o_orderkey % 12) // 2 + 1] AS grammar, o_orderkey % 2 = 0 AS complete,
+            count(*) AS n, count(*) AS n_numbers FROM orders GROUP BY ALL""",
     "captures_by_kind": """
         SELECT kind, CAST(n AS BIGINT) AS n FROM (
             SELECT 'punctuation' AS kind, 3 * count(*) AS n FROM events UNION ALL SELECT 'property', count(*) FROM events

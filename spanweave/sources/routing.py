@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..grammar import library
 
 #: Names and extensions of languages that aren't the name of a grammar themselves.
-ALIASES = {"sqlite": "sql", "htm": "tags", "html": "tags", "xml": "tags", "jsonl": "json", "txt": "lines"}
+ALIASES = {"sqlite": "sql", "htm": "tags", "html": "tags", "xml": "tags", "jsonl": "json", "txt": "lines", "h": "c", "golang": "go", "js": "javascript", "mjs": "javascript", "rs": "rust", "bzl": "starlark", "star": "starlark", "yml": "yaml"}
 DEFAULT = "json"
 
 
