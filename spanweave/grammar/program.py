@@ -28,6 +28,10 @@ class ColumnOutOfScope(GrammarError):
     pass
 
 
+class SoftEnd(GrammarError):
+    """A call that can match a prefix in silence, in a grammar that is compiled strictly."""
+
+
 class MalformedProgram(ValueError):
     """Bytes that no ``encode`` wrote."""
 
@@ -66,8 +70,8 @@ class Program:
         return sum(1 for p in self.rules.values() for _ in p.walk())
 
 
-def compiled(source: str) -> Program:
-    return compile_grammar(parse(source))
+def compiled(source: str, strict: bool = False) -> Program:
+    return compile_grammar(parse(source), strict)
 
 
 def compile_pattern(p: Pattern) -> Program:
@@ -77,7 +81,8 @@ def compile_pattern(p: Pattern) -> Program:
     return Program("root", {"root": p})
 
 
-def compile_grammar(grammar: Grammar) -> Program:
+def compile_grammar(grammar: Grammar, strict: bool = False) -> Program:
+    """The program of a grammar; a strict one has no findings of the lint."""
     if grammar.root not in grammar.rules:
         raise GrammarError(f"no rule is named {grammar.root}")
     worded = any(r.ascription in SYNTHESIZED for r in grammar.rules.values())
@@ -85,6 +90,8 @@ def compile_grammar(grammar: Grammar) -> Program:
         raise UndefinedRule("rules of words need a rule named boundary")
     if missing := analysis.undefined(grammar, SYNTHESIZED):
         raise UndefinedRule(f"{missing[0][0]} refers to {missing[0][1]}, which isn't defined")
+    if strict and (found := analysis.lint(grammar)):
+        raise SoftEnd(f"{found[0].caller} ends with {found[0].rule}, which can end early: anchor one of them")
     columns = _column_rules(grammar)
     bodies = _anchored(grammar)
     if "ignore" in bodies:

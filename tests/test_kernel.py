@@ -6,8 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanweave.grammar import library
-from spanweave.grammar.notation import GrammarError
-from spanweave.grammar.program import MalformedProgram, compiled, decode, encode
+from spanweave.grammar.analysis import lint
+from spanweave.grammar.notation import GrammarError, parse
+from spanweave.grammar.program import MalformedProgram, SoftEnd, compiled, decode, encode
 from spanweave.kernel.matcher import Matcher
 from spanweave.operators import edits, spans
 from spanweave.operators.parse import nesting, parse_documents, tiles
@@ -110,3 +111,26 @@ def test_edits(spark):
     todo = spark.createDataFrame([(1, 2, 0, 1, "J"), (1, 1, 5, 5, " there"), (2, 1, None, None, "new"), (2, 2, 1, 2, None)], "id long, seq int, start long, old_end long, replacement string")
     got = {r.id: r.t for r in edits.apply_edits(docs, todo, "id", "t").select("id", F.decode("t", "UTF-8").alias("t")).collect()}
     assert got == {1: "Jello there", 2: "nw", 3: "same"}
+
+
+@pytest.mark.parametrize(
+    ("source", "calls"),
+    [
+        ("s = a 'z' { a = 'x' b  b = 'y'* }", [("b", "a")]),
+        ("s = a 'z' { a = 'x' b  b = 'w' c  c = 'y'? }", [("b", "a"), ("c", "b")]),
+        ("s = a 'z' { a = 'x' @k(b / 'v')  b = 'w' c  c = 'y'+ }", [("b", "a"), ("c", "b")]),
+        ("s = a 'z' { a = 'x' b ';'  b = 'w' c ';'  c = 'y'? }", []),
+        ("s = a 'z' { a = 'x' b  b = 'w' c  c = 'y'? &[;z] }", []),
+        ("s = a 'z' { a = 'x' b$  b = 'w' c$  c = 'y'? }", []),
+        ("s = a 'z' { a = (b)*^[;]  b:atomic = 'y'? }", []),
+        ("s = a { a = b / 'q'  b = 'x' a / 'y'* }", [("a", "b"), ("b", "a")]),
+    ],
+)
+def test_lint_follows_calls(source, calls):
+    assert [(f.rule, f.caller) for f in lint(parse(source))] == calls
+    assert compiled(source)
+    if calls:
+        with pytest.raises(SoftEnd):
+            compiled(source, strict=True)
+    else:
+        assert compiled(source, strict=True)
