@@ -23,9 +23,15 @@ from spanweave.session import ship
 LEAST_LANGUAGE_SCORE = 0.5
 
 
+def _begin(spark: SparkSession) -> None:
+    """What each stage needs.  All share executors that keep what earlier ones grew, so batches are small in all of them."""
+    ship(spark)
+    store.small_batches(spark)
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose language is predicted with enough certainty."""
-    ship(spark)
+    _begin(spark)
     model = langid.train(docs.where(~langid.held_out()))
     lang, score = (store.free_name(name, docs) for name in ("_lang_pred", "_lang_score"))
     found = langid.identify(docs, model, lang_as=lang, score_as=score)
@@ -34,7 +40,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copy_groups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near copies (five words, a similarity of 0.8): that with the smallest doc_id."""
-    ship(spark)
+    _begin(spark)
     found = near_copies.near_copies(docs, n=5, num=80).where("doc_id is not null")
     nodes = found.groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count("*").alias("n"))
     nodes = store.saved(nodes.where("component_id != doc_id or n > 1"), "others")
@@ -49,20 +55,20 @@ def near_copy_groups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows without any benchmark item."""
-    ship(spark)
+    _begin(spark)
     return decontam.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows drawn at the rates that bring the domains' tokens to their target shares without repetition."""
-    ship(spark)
+    _begin(spark)
     labelled = mixing.label_domains(spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return mixing.sample(docs, labelled).select(docs.columns)
 
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The index of the token files, read back from them."""
-    ship(spark)
+    _begin(spark)
     path = store.new_path(spark, "token-files")
     tokens.write_ids(docs, path, queries.tokenizer_json())
     return tokens.read_ids(spark, path)

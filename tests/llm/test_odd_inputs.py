@@ -5,7 +5,7 @@ import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from spanweave.llm import decontam, grading, langid, mixing, pii, queries, rules, secret_scan, tokens
+from spanweave.llm import decontam, grading, langid, mixing, pii, queries, rules, secret_scan, store, tokens
 from spanweave.llm.bytescan import Texts, same_spans, span_hashes
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -130,3 +130,17 @@ def test_empty_tables_and_clashing_columns(spark):
         assert decontam.leaks(docs, items).count() == n // 2
         kept = decontam.clean(docs, items)
         assert kept.columns == docs.columns and kept.count() == n // 2
+
+
+@pytest.mark.parametrize("stage", [s for _, s in corpus_pipeline.STAGES])
+def test_stages_hand_their_workers_small_batches(spark, stage):
+    own = spark.newSession()
+    stage(own, own.createDataFrame([], DOCS), "/root/testdata/sf0.001")
+    docs = own.range(24, numPartitions=1).selectExpr("id AS doc_id", "repeat('abcdefgh', 1 << 17) AS text")
+
+    def work(batch, texts):  # a slice knows the buffer of the batch that it is of
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([texts.buffers()[2].size] * len(texts))], ["doc_id", "held"])
+
+    rows = store.map_slices(docs, "text", work, "doc_id long, held long").collect()
+    assert sorted(r.doc_id for r in rows) == list(range(24))
+    assert max(r.held for r in rows) <= 6 << 20
