@@ -76,10 +76,17 @@ def frequencies(texts: pa.Array) -> np.ndarray:
     return (counts / np.maximum(counts.sum(1, keepdims=True), 1)).astype(np.float32)
 
 
+def blank(n: int) -> np.ndarray:
+    """Room for the features of ``n`` texts, with the constant feature behind them."""
+    return np.ones((n, BUCKETS + 1), np.float32)
+
+
 def linear_svm(x: np.ndarray, y: np.ndarray, c: float = 10.0, rounds: int = 40) -> tuple[np.ndarray, float]:
-    """Dual coordinate descent for the squared hinge loss; ``y`` is +1 or -1; the bias is a constant feature."""
-    x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
-    norm = (x * x).sum(1) + 0.5 / c
+    """Dual coordinate descent for the squared hinge loss; ``y`` is +1 or -1; the bias is the constant last feature.
+
+    ``x`` is the driver's largest array, so nothing of its size is made here.
+    """
+    norm = np.array([(row * row).sum() for row in x], x.dtype) + 0.5 / c
     alpha, w = np.zeros(len(x)), np.zeros(x.shape[1])
     rng = np.random.default_rng(7)
     for _ in range(rounds):
@@ -100,8 +107,10 @@ class Model:
     """Fitted weights: ``rest`` for families against the rest, ``pairs`` by family for pairs of its languages."""
 
     def __init__(self, x: np.ndarray, langs: list[str]):
-        self.scale = 1 / np.sqrt(x.mean(0) + 1e-5) if len(x) else np.ones(BUCKETS)
-        x = x * self.scale
+        """``x`` as of ``blank``; it is scaled in its place."""
+        own = x[:, :-1]
+        self.scale = 1 / np.sqrt(own.mean(0) + 1e-5) if len(x) else np.ones(BUCKETS)
+        own *= self.scale
         langs_ = np.array(langs)
         families = np.array([_FAMILY.get(v, v) for v in langs])
         self.families = sorted(set(families))
@@ -180,8 +189,15 @@ def train(docs: DataFrame, per_language: int = 300, text: str = "text", lang: st
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & (F.col("text") != ""))
     sample = bounded_sample(rows, "lang", "doc_id", per_language).orderBy("lang", "doc_id").toPandas()
-    x = np.concatenate([frequencies(pa.array(sample["text"][i : i + 64], pa.large_string())) for i in range(0, len(sample), 64)]) if len(sample) else np.zeros((0, BUCKETS))
-    return Model(x, sample["lang"].tolist())
+    x = blank(len(sample))
+    for i in range(0, len(sample), 64):
+        x[i : i + 64, :-1] = frequencies(pa.array(sample["text"][i : i + 64], pa.large_string()))
+    langs = sample["lang"].tolist()
+    del sample
+    out = Model(x, langs)
+    del x
+    store.release()
+    return out
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text", lang_as: str = "lang_pred", score_as: str = "score") -> DataFrame:
