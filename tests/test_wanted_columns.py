@@ -35,6 +35,7 @@ def test_unknown_columns_are_refused(spark):
     [
         ("recovery_clusters", ["islands"]),
         ("orphan_checks", ["doc_id", "captures", "notes", "islands"]),
+        ("recovery_rows", ["doc_id", "captures", "islands"]),
     ],
 )
 def test_queries_ask_for_what_they_read(spark, monkeypatch, name, moved):
