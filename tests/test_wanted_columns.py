@@ -6,7 +6,7 @@ import pytest
 from spanweave.grammar import library
 from spanweave.kernel import runs
 from spanweave.kernel.matcher import Matcher
-from spanweave.operators import parse
+from spanweave.operators import parse, spans
 from spanweave.plans import queries
 
 DOCS = [b"ab 1c\n\nd\xc3\xa9", b"", b"--", b"a b\nc"]
@@ -36,6 +36,8 @@ def test_unknown_columns_are_refused(spark):
         ("recovery_clusters", ["islands"]),
         ("orphan_checks", ["doc_id", "captures", "notes", "islands"]),
         ("recovery_rows", ["doc_id", "captures", "islands"]),
+        ("depth_hist", ["captures"]),
+        ("parent_edges", ["captures"]),
     ],
 )
 def test_queries_ask_for_what_they_read(spark, monkeypatch, name, moved):
@@ -44,3 +46,12 @@ def test_queries_ask_for_what_they_read(spark, monkeypatch, name, moved):
     monkeypatch.setattr(queries, "parse_documents", lambda *a: seen.append(own(*a)) or seen[-1])
     queries.QUERIES[name](spark, "/root/testdata/sf0.001")
     assert [x.columns for x in seen] == [moved]
+
+
+def test_captures_are_not_made_anew(spark):
+    df = spark.createDataFrame([(1, "ab 1\nc"), (2, "")], "id int, t string")
+    found = spans.captures(parse.parse_documents(df, library.program("lines"), "t", ["id"]), ["id"])
+    assert "transform" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert dict(found.dtypes)["capture_idx"] == "int"
+    got = [tuple(r) for r in found.orderBy("id", "capture_idx").collect()]
+    assert got == [(1, 0, "line", 0, 4, 0, -1), (1, 1, "word", 0, 2, 1, 0), (1, 2, "line", 5, 6, 0, -1), (1, 3, "word", 5, 6, 1, 2)]
