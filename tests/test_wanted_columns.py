@@ -1,5 +1,6 @@
 """Columns that nobody wants are neither built nor moved."""
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -38,6 +39,7 @@ def test_unknown_columns_are_refused(spark):
         ("recovery_rows", ["doc_id", "captures", "islands"]),
         ("depth_hist", ["captures"]),
         ("parent_edges", ["captures"]),
+        ("tiling_check", ["doc_id", "n_bytes", "tiles"]),
     ],
 )
 def test_queries_ask_for_what_they_read(spark, monkeypatch, name, moved):
@@ -55,3 +57,11 @@ def test_captures_are_not_made_anew(spark):
     assert dict(found.dtypes)["capture_idx"] == "int"
     got = [tuple(r) for r in found.orderBy("id", "capture_idx").collect()]
     assert got == [(1, 0, "line", 0, 4, 0, -1), (1, 1, "word", 0, 2, 1, 0), (1, 2, "line", 5, 6, 0, -1), (1, 3, "word", 5, 6, 1, 2)]
+
+
+def test_tiles_take_no_hash_of_every_edge(monkeypatch):
+    monkeypatch.setattr(np, "unique", None)  # it hashes all edges, then sorts them
+    program = library.program("lines")
+    made = parse._run_columns(runs.plan(program), pa.array(DOCS, pa.binary()), True, False, ["tiles"])[0]
+    want = [parse.tiles(Matcher(program).match(d).captures, len(d)) for d in DOCS]
+    assert [[tuple(x.values()) for x in row] for row in made.to_pylist()] == want
