@@ -40,6 +40,7 @@ def test_unknown_columns_are_refused(spark):
         ("depth_hist", ["captures"]),
         ("parent_edges", ["captures"]),
         ("tiling_check", ["doc_id", "n_bytes", "tiles"]),
+        ("recovery_spans", ["doc_id", "islands"]),
     ],
 )
 def test_queries_ask_for_what_they_read(spark, monkeypatch, name, moved):
