@@ -1,8 +1,8 @@
 """Token files: canonical, length-limited Huffman codes of token ids, decoded from tables in independent blocks.
 
-``count_ids`` gathers the counts of all ids of the corpus, ``codebook`` turns them into a canonical code whose
-longest word has ``limit`` bits, ``write_ids`` writes the ids of all documents in ascending ``doc_id`` order and
-``read_ids`` decodes them.
+``encoded_ids`` encodes every text once, ``count_ids`` gathers the counts of all ids of the corpus, ``codebook`` turns
+them into a canonical code whose longest word has ``limit`` bits, ``write_ids`` writes the ids of all documents in
+ascending ``doc_id`` order and ``read_ids`` decodes them.
 
 File format.  A folder with the Parquet tables ``codes`` (id, n_bits: all that a canonical code needs), ``shards``
 (shard, n_docs, n_ids, first: ids in all earlier shards) and ``blocks``.  A row of ``blocks`` is one independent block
@@ -223,23 +223,77 @@ def encoder(spec: str) -> WordEncoder:
     return store.held_once(("encoder", spec), lambda: WordEncoder(spec))
 
 
-def count_ids(docs: DataFrame, spec, text: str = "text", end_id: int = END_ID) -> DataFrame:
-    """(id, n): how often each id occurs in the whole table.  At most one row an id leaves each task."""
+IDS_SCHEMA = "shard int, before long, doc_ids array<long>, n_ids array<long>, ids binary"
+
+
+def _packed(ids: np.ndarray) -> bytes:
+    """Little-endian ids of two bytes, or of four where one needs more than two."""
+    return ids.astype("<u2" if not len(ids) or ids.max() < 1 << 16 else "<u4").tobytes()
+
+
+def _unpacked(raw: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(raw, "<u2" if len(raw) == 2 * n else "<u4").astype(np.int64)
+
+
+def encoded_ids(ordered: DataFrame, spec, end_id: int = END_ID) -> DataFrame:
+    """The ids of ``ordered`` (doc_id, text), whose partitions are the shards: a row for each group of whole documents."""
 
     def run(batches):
-        total = np.zeros(0, np.int64)
-        enc = encoder(spec.value)
+        from pyspark import TaskContext
+
+        shard, before, enc = TaskContext.get().partitionId(), 0, encoder(spec.value)
+        held: tuple[list, list, list] = ([], [], [])
+        held_ids = 0
+
+        def row(docs: list, sizes: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+            made = [pa.array([shard], pa.int32()), pa.array([before], pa.int64()), pa.array([docs], pa.list_(pa.int64())), pa.array([sizes.tolist()], pa.list_(pa.int64())), pa.array([_packed(ids)], pa.binary())]
+            return pa.RecordBatch.from_arrays(made, ["shard", "before", "doc_ids", "n_ids", "ids"])
+
         for batch in batches:
-            texts = store.filled(batch.column(0))
+            texts, keys = store.filled(batch.column(1)), batch.column(0).to_pylist()
             for a, b in store.text_slices(texts, SLICE):
-                got = enc.counts(texts.slice(a, b - a), end_id)
+                ids, n_ids = enc.encode(texts.slice(a, b - a), end_id)
+                parts = np.split(ids, np.cumsum(n_ids)[:-1])
+                held[0].extend(keys[a:b]), held[1].extend(n_ids.tolist()), held[2].extend(parts)
+                held_ids += len(ids)
+                if held_ids < 4 * BLOCK_IDS:
+                    continue
+                *full, rest = _blocks(*held)
+                for x in full:
+                    yield row(*x)
+                    before += len(x[2])
+                held = (list(rest[0]), rest[1].tolist(), np.split(rest[2], np.cumsum(rest[1])[:-1]))
+                held_ids = len(rest[2])
+        for x in _blocks(*held):
+            yield row(*x)
+            before += len(x[2])
+        store.release()
+
+    return ordered.mapInArrow(run, IDS_SCHEMA)
+
+
+def _ids_of(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Every row of ``IDS_SCHEMA`` with its ids."""
+    for i in range(batch.num_rows):
+        own = batch.slice(i, 1)
+        n = int(np.asarray(own.column("n_ids")[0].values).sum())
+        yield own, _unpacked(own.column("ids")[0].as_py(), n)
+
+
+def count_ids(encoded: DataFrame) -> DataFrame:
+    """(id, n): how often each id occurs in all rows of ``encoded_ids``.  At most one row an id leaves each task."""
+
+    def run(batches):
+        total = np.zeros(0, np.int64)
+        for batch in batches:
+            for _, own in _ids_of(batch):
+                got = np.bincount(own)
                 total = np.pad(total, (0, max(0, len(got) - len(total))))
                 total[: len(got)] += got
         ids = np.flatnonzero(total)
-        store.release()
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(total[ids], pa.int64())], ["id", "n"])
 
-    return docs.select(text).mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return encoded.select("n_ids", "ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def code_lengths(counts: np.ndarray, limit: int) -> np.ndarray:
@@ -359,56 +413,31 @@ def _blocks(docs: list, sizes: list, ids: list) -> Iterator[tuple[list, np.ndarr
 BLOCK_SCHEMA = "shard int, before long, doc_ids array<long>, n_ids array<long>, bits binary, checkpoints array<long>"
 
 
-def _block(shard: int, before: int, docs: list, sizes: np.ndarray, ids: np.ndarray, book: Codebook) -> pa.RecordBatch:
-    bits, checkpoints = book.encode(ids)
-    return pa.RecordBatch.from_arrays(
-        [pa.array([shard], pa.int32()), pa.array([before], pa.int64()), pa.array([docs], pa.list_(pa.int64())), pa.array([sizes.tolist()], pa.list_(pa.int64())), pa.array([bits], pa.binary()), pa.array([checkpoints.tolist()], pa.list_(pa.int64()))],
-        ["shard", "before", "doc_ids", "n_ids", "bits", "checkpoints"],
-    )
-
-
 def write_ids(docs: DataFrame, path: str, tokenizer_json: str, text: str = "text", doc_id: str = "doc_id", end_id: int = END_ID, limit: int = 16, shards: int | None = None) -> None:
     """Write the ids of every whole text of ``docs`` to ``path`` in ascending order of ``doc_id``.
 
-    The corpus is read twice: once for the counts, once to be encoded; keeping the ids between would take more disk
-    than the texts.  The order comes from a range partitioning: its partitions are the shards.
+    Texts are encoded once.  Their ids, two bytes each, lie in the shared folder until their counts have given the code.
+    The order comes from a range partitioning: its partitions are the shards.
     """
     spark = docs.sparkSession
     spec = spark.sparkContext.broadcast(tokenizer_json)  # a tokenizer's size doesn't depend on the corpus
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    codebook(count_ids(docs, spec, "text", end_id), limit).coalesce(1).write.parquet(f"{path}/codes")
+    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    order = [F.col("doc_id").asc_nulls_first(), F.length("text").asc(), F.crc32(F.col("text").cast("binary")).asc(), F.col("text").asc()]
+    ordered = docs.repartitionByRange(shards, *order[:3]).sortWithinPartitions(*order)
+    encoded = store.saved(encoded_ids(ordered, spec, end_id), "token-ids")
+    codebook(count_ids(encoded), limit).coalesce(1).write.parquet(f"{path}/codes")
     book = spark.sparkContext.broadcast(_read_book(spark, path))
 
     def run(batches):
-        from pyspark import TaskContext
-
-        shard, before, enc = TaskContext.get().partitionId(), 0, encoder(spec.value)
-        held: tuple[list, list, list] = ([], [], [])
-        held_ids = 0
         for batch in batches:
-            texts, keys = store.filled(batch.column(1)), batch.column(0).to_pylist()
-            for a, b in store.text_slices(texts, SLICE):
-                ids, n_ids = enc.encode(texts.slice(a, b - a), end_id)
-                parts = np.split(ids, np.cumsum(n_ids)[:-1])
-                held[0].extend(keys[a:b]), held[1].extend(n_ids.tolist()), held[2].extend(parts)
-                held_ids += len(ids)
-                if held_ids < 4 * BLOCK_IDS:
-                    continue
-                *full, rest = _blocks(*held)
-                for x in full:
-                    yield _block(shard, before, *x, book.value)
-                    before += len(x[2])
-                held = (list(rest[0]), rest[1].tolist(), np.split(rest[2], np.cumsum(rest[1])[:-1]))
-                held_ids = len(rest[2])
-        for x in _blocks(*held):
-            yield _block(shard, before, *x, book.value)
-            before += len(x[2])
-        store.release()
+            for own, ids in _ids_of(batch):
+                bits, checkpoints = book.value.encode(ids)
+                made = [*own.columns[:4], pa.array([bits], pa.binary()), pa.array([checkpoints.tolist()], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(made, ["shard", "before", "doc_ids", "n_ids", "bits", "checkpoints"])
 
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    order = [F.col("doc_id").asc_nulls_first(), F.length("text").asc(), F.crc32(F.col("text").cast("binary")).asc(), F.col("text").asc()]
-    ordered = docs.repartitionByRange(shards, *order[:3]).sortWithinPartitions(*order)
-    ordered.mapInArrow(run, BLOCK_SCHEMA).write.parquet(f"{path}/blocks")
+    encoded.mapInArrow(run, BLOCK_SCHEMA).write.parquet(f"{path}/blocks")
+    store.drop(encoded)
     blocks = spark.read.parquet(f"{path}/blocks")
     # One row a shard: the number of shards is a setting, not a size of the corpus.
     totals = blocks.groupBy("shard").agg(F.sum(F.size("doc_ids")).cast("long").alias("n_docs"), F.sum(F.aggregate("n_ids", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n_ids")).orderBy("shard").toPandas()
